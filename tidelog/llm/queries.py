@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, token_files, url_rules
+from . import line_rules, mixing, near_dedup, token_files, url_rules
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -25,8 +29,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_url_rules, op5_line_rules, op8_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op4_url_rules, op5_line_rules, op8_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": url_rules.oracle(), "op5_line_rules": line_rules.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_near_dedup": near_dedup.ORACLE, "op4_url_rules": url_rules.oracle(), "op5_line_rules": line_rules.ORACLE, "op10_mixing": mixing.ORACLE}
