@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, near_dedup, token_files, url_rules
+from . import decontaminate, line_rules, mixing, near_dedup, token_files, url_rules
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), token_files.tokenizer_path())
 
@@ -29,7 +33,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op4_url_rules, op5_line_rules, op8_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op4_url_rules, op5_line_rules, op6_decontaminate, op8_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
