@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_rules, mixing, near_dedup, token_files, url_rules
+from . import decontaminate, html_text, line_rules, mixing, near_dedup, token_files, url_rules
 from .common import table
 
 
@@ -28,12 +28,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), token_files.tokenizer_path())
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op4_url_rules, op5_line_rules, op6_decontaminate, op8_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op4_url_rules, op5_line_rules, op6_decontaminate, op8_token_files, op9_html_text, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
