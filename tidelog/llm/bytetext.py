@@ -69,12 +69,18 @@ def blocks(data: np.ndarray, offs: np.ndarray, size: int = BLOCK) -> Iterator[tu
         i = j
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes, and for each text the index of its first word (n + 1)."""
+#: Bytes of letters: ASCII letters and all bytes of other code points.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def word_bounds(data: np.ndarray, offs: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes in ``of``, else of what isn't white space), and for each text the index of its
+    first word (n + 1)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~_SPACE[data]
+    solid = (~_SPACE if of is None else of)[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = solid[:-1]

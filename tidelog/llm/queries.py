@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_rules, mixing, near_dedup, quality, token_files, url_rules
+from . import decontaminate, html_text, line_rules, mixing, near_dedup, quality, token_files, toxicity, url_rules
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op4_url_rules, op5_line_rules, op6_decontaminate, op8_token_files, op9_html_text, op10_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_toxicity, op4_url_rules, op5_line_rules, op6_decontaminate, op8_token_files, op9_html_text, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
