@@ -108,3 +108,8 @@ class Page:
     def text(self, keep=None) -> str:
         """The text of the elements for which ``keep`` is true (all without it): blocks in page order, white space as one space."""
         return " ".join("".join([" " if t is None else t for n, t, _ in self.pieces if t is None or keep is None or keep[n]]).split())
+
+    def lines(self) -> str:
+        """All text, a line for each block."""
+        blocks = "".join(["\n" if t is None else t.replace("\n", " ") for _, t, _ in self.pieces]).split("\n")
+        return "\n".join(x for b in blocks if (x := " ".join(b.split())))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_rules, mixing, near_dedup, quality, token_files, toxicity, url_rules
+from . import decontaminate, html_text, line_rules, mixing, near_dedup, quality, token_files, toxicity, url_rules, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), with_record=False)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), token_files.tokenizer_path())
 
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_toxicity, op4_url_rules, op5_line_rules, op6_decontaminate, op8_token_files, op9_html_text, op10_mixing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_toxicity, op4_url_rules, op5_line_rules, op6_decontaminate, op7_warc, op8_token_files, op9_html_text, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
