@@ -4,11 +4,11 @@
 2. Documents with the same set form a class; everything after works on classes, so copies cost nothing.
 3. Registers are banded; each bucket's members are compared with its least member (its leader), first by the joint likelihood
    estimate from all registers, then on the full sets. Links give components.
-4. In buckets that still hold several components, members of different components are compared by their registers inside the
-   task, in blocks of bounded size; only each member's likeliest partners in another component are passed on and verified. Merged
-   components leave ever fewer such pairs; partners that were held back follow in later rounds, until none is left.
+4. In buckets that still hold several components, members of different components are compared inside the task, in blocks of
+   bounded size: by their registers, in the first band that they share, and where these leave a doubt on the full sets. Only one link
+   for each two components leaves the task.
 
-No bucket is ever gathered whole, no pairs inside a component are emitted, and every link counts only after the full sets confirm it.
+No bucket is ever gathered whole, no pairs inside a component are looked at, and every link counts only after the full sets confirm it.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; a row without id takes no part and is kept, with
 a null component; rows of equal id are judged each by its own text; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +17,6 @@ a null component; rows of equal id are judged each by its own text; an empty tab
 from __future__ import annotations
 
 import contextlib
-import logging
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +26,10 @@ from . import setsketch
 from .bytetext import U, blocks, buffers, mix, shingle_sets
 from .common import discard, save, ship
 
-log = logging.getLogger(__name__)
 #: Candidates are given up without a look at the full sets if a similarity below the limit is e**CUT times as likely as any above.
 CUT = 10.0
 #: Members of a bucket compared at once; larger buckets are split in blocks and all pairs of blocks.
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 4_000_000
 
 
 @contextlib.contextmanager
@@ -165,9 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 keep = np.zeros(half, bool)
                 for k in range(half):
                     x, y = sets[back[k]], sets[back[half + k]]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    i = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                    i = overlap(x, y)
                     keep[k] = i > 0 and 100 * i >= percent * (len(x) + len(y) - i)
                 keep = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
@@ -192,55 +188,87 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def across(members: DataFrame, at: float, best: int) -> DataFrame:
-    """Of bucket members (key, node, label, leader, parts) with registers: the likely pairs (a, b) of different components. Each member
-    names at most ``best`` partners in each other component of its block; a row (-1, -1) tells that more were held back."""
-    spread = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
-    order = ["key", "i", "j"]
-    spread = spread.repartition(*order).sortWithinPartitions(*order)
-    floor = int(setsketch.M * (at - 0.25))
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+class Block:
+    """Members of one bucket (or of two of its parts): links between those of different components."""
+
+    def __init__(self, key: int, node, label, mine, n, text, regs, width: int, percent: int):
+        self.node, self.label, self.mine, self.n, self.text, self.regs = node, label, mine, n, text, regs
+        self.width, self.percent, self.at = width, percent, percent / 100
+        band = int((setsketch.band_keys(regs[:1])[0] == key).argmax())
+        self.before = regs[:, : band * setsketch.ROWS].reshape(len(regs), band, setsketch.ROWS)
+        self.sets: dict[int, np.ndarray] = {}
+        self.root: dict[int, int] = {}
+
+    def _set(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            raw = np.frombuffer(self.text[k].encode("utf-8", "replace"), np.uint8)
+            self.sets[k] = shingle_sets(raw, np.array([0, len(raw)]), self.width)[0]
+        return self.sets[k]
+
+    def _find(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = self.root.get(up, up)
+            x = up
+        return x
 
-    def compare(node, label, mine, n, regs, i, j):
-        names, code, count = np.unique(label, return_inverse=True, return_counts=True)
+    def links(self, apart: bool):
+        """Pairs of nodes. Each pair of components needs one link only; a pair is looked at in the first band it shares."""
+        names, code, count = np.unique(self.label, return_inverse=True, return_counts=True)
         if len(names) < 2:
-            return [], False
-        found, held = [], False
+            return
+        n, regs, node = self.n, self.regs, self.node
+        floor = int(setsketch.M * (self.at - 0.25))
         largest = code == count.argmax()
         rows = np.flatnonzero(~largest)
         for s in range(0, len(rows), 16):
             r = rows[s : s + 16]
             same = np.stack([(regs[k] == regs).sum(1) for k in r])
             can = (same >= floor) & (code[r][:, None] != code[None, :]) & (largest[None, :] | (node[None, :] > node[r][:, None]))
-            can &= np.minimum(n[r][:, None], n[None, :]) >= at * np.maximum(n[r][:, None], n[None, :]) - 1e-9
-            if i != j:
-                can &= mine[r][:, None] != mine[None, :]
+            can &= np.minimum(n[r][:, None], n[None, :]) >= self.at * np.maximum(n[r][:, None], n[None, :]) - 1e-9
+            if apart:
+                can &= self.mine[r][:, None] != self.mine[None, :]
             x, y = np.nonzero(can)
-            if not len(x):
-                continue
             a, b = r[x], y
-            _, lead = setsketch.estimate((regs[a] > regs[b]).sum(1), (regs[a] < regs[b]).sum(1), n[a], n[b], at)
-            keep = lead <= CUT
-            a, b, score = a[keep], b[keep], same[x, y][keep]
-            order = np.lexsort((-score, code[b], a))
-            a, b = a[order], b[order]
-            group = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (code[b][1:] != code[b][:-1])))) if len(a) else np.zeros(0, int)
-            rank = np.arange(len(a)) - np.repeat(group, np.diff(np.append(group, len(a))))
-            held |= bool((rank >= best).any())
-            a, b = a[rank < best], b[rank < best]
-            found += zip(np.minimum(node[a], node[b]).tolist(), np.maximum(node[a], node[b]).tolist(), strict=True)
-        return found, held
+            fresh = ~(self.before[a] == self.before[b]).all(2).any(1)
+            a, b, score = a[fresh], b[fresh], same[x, y][fresh]
+            if not len(a):
+                continue
+            _, lead = setsketch.estimate((regs[a] > regs[b]).sum(1), (regs[a] < regs[b]).sum(1), n[a], n[b], self.at)
+            for i in np.flatnonzero(lead <= CUT)[np.argsort(-score[lead <= CUT], kind="stable")].tolist():
+                u, v = int(a[i]), int(b[i])
+                p, q = self._find(int(code[u])), self._find(int(code[v]))
+                if p == q:
+                    continue
+                shared = overlap(self._set(u), self._set(v))
+                if shared and 100 * shared >= self.percent * (len(self.sets[u]) + len(self.sets[v]) - shared):
+                    self.root[p] = q
+                    yield int(min(node[u], node[v])), int(max(node[u], node[v]))
+
+
+def across(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of bucket members (key, node, label, parts, n, sketch, text): links (a, b) between different components, verified on the full
+    sets inside the task. At most as many for each block as it has components."""
+    spread = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
+    order = ["key", "i", "j"]
+    spread = spread.repartition(*order).sortWithinPartitions(*order)
 
     def run(batches):
         import pyarrow as pa
 
-        last, held_rows = None, []
+        last, held = None, []
 
         def close():
-            cols = [np.concatenate(c) for c in zip(*held_rows, strict=True)]
-            found, held = compare(*cols, last[1], last[2])
-            if held:
-                found.append((-1, -1))
+            cols = [np.concatenate(c) for c in zip(*[h[:4] for h in held], strict=True)]
+            block = Block(last[0], *cols, [t for h in held for t in h[4]], np.concatenate([h[5] for h in held]), width, percent)
+            found = list(block.links(last[1] != last[2]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
@@ -248,19 +276,20 @@ def across(members: DataFrame, at: float, best: int) -> DataFrame:
             if not b.num_rows:
                 continue
             key = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
-            cols = [b.column(k).to_numpy() for k in range(3, 7)] + [_regs(b.column(7))]
+            cols = [b.column(k).to_numpy() for k in range(3, 7)]
+            regs = _regs(b.column(8))
             edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for s, t in zip(edge[:-1], edge[1:], strict=True):
                 now = tuple(key[s].tolist())
                 if last is not None and now != last:
                     yield from close()
-                    held_rows = []
+                    held = []
                 last = now
-                held_rows.append([c[s:t].copy() for c in cols])
+                held.append([*[c[s:t].copy() for c in cols], b.column(7).slice(s, t - s).to_pylist(), regs[s:t].copy()])
         if last is not None:
             yield from close()
 
-    return spread.select(*order, "node", "label", "mine", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return spread.select(*order, "node", "label", "mine", "n", "text", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,36 +308,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     with arrow_rows(spark, 1000):
         links = save(verified(pairs, texts, width, percent), "near-links")
     labels = components(links)
-    labels._tidelog_path = None
-    best = 2
-    while True:
-        known = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y")
-        mixed = mixed.select("key", F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int").alias("parts"))
-        rest = known.join(mixed, "key").join(classes.select("node", "n", "sketch"), "node")
-        with arrow_rows(spark, 2000):
-            found = save(across(rest, at, best), "near-across")
-        new = save(found.where("a >= 0").join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        held = not found.where("a < 0").isEmpty()
-        if new.isEmpty():
-            if not held:
-                break
-        else:
-            with arrow_rows(spark, 1000):
-                fresh = save(verified(new, texts, width, percent), "near-links")
-            pairs = pairs.unionByName(new)
-            if not fresh.isEmpty():
-                links = links.unionByName(fresh)
-                # only what the new links join anew: between the labels so far
-                ends = fresh.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-                moved = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-                moved = moved.select(F.col("node").alias("old"), F.col("label").alias("to"))
-                every = labels.unionByName(fresh.select(F.col("a").alias("node"), F.col("a").alias("label"))).unionByName(fresh.select(F.col("b").alias("node"), F.col("b").alias("label")))
-                every = every.groupBy("node").agg(F.min("label").alias("label"))
-                labels = save(every.join(moved, every["label"] == moved["old"], "left").select("node", F.coalesce("to", "label").alias("label")), "near-labels")
-        discard(found)
-        best *= 4
+    # every other pair of a bucket is one without its leader: it matters if their components still differ
+    known = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sized = known.join(classes.select("node", "n", "sketch"), "node")
+    mixed = sized.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("x < y")
+    mixed = mixed.select("key", F.ceil(F.greatest(F.col("c") / BLOCK_MEMBERS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    with arrow_rows(spark, 1000):
+        more = save(across(sized.join(mixed, "key").join(texts, "node"), width, percent), "near-links")
+    if not more.isEmpty():
+        named = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        ends = more.join(named[0], "a", "left").join(named[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        moved = components(ends).select(F.col("node").alias("old"), F.col("label").alias("to"))
+    else:
+        moved = spark.createDataFrame([], "old long, to long")
     known = classes.select("node", "cid", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = known.join(moved, known["label"] == moved["old"], "left").withColumn("label", F.coalesce("to", "label")).drop("old", "to")
     roots = known.groupBy("label").agg(F.min("doc").alias("component_id"))
     final = save(known.join(roots, "label").select("cid", "component_id"), "near-components")
     discard(texts, members)
