@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +163,6 @@ def transform(kind: str, name: str | None = None, version: str = "0.1.0", requir
 
 def python_filter(test: Callable[[bytes | None, bytes], bool]) -> Filter:
     """A filter by a Python function of key and value, called in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def keep(key: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([bool(test(k, v)) for k, v in zip(key, value, strict=True)])
@@ -173,8 +172,6 @@ def python_filter(test: Callable[[bytes | None, bytes], bool]) -> Filter:
 
 def python_map(make: Callable[[bytes | None, bytes], tuple[bytes | None, bytes] | None], kind: str = "map") -> Step:
     """A map, or with kind ``filter_map`` one that may drop a record by None, by a Python function of key and value."""
-    import pandas as pd
-
     @F.pandas_udf("keep boolean, key binary, value binary")
     def run(key: pd.Series, value: pd.Series) -> pd.DataFrame:
         made = [make(k, v) for k, v in zip(key, value, strict=True)]
@@ -185,8 +182,6 @@ def python_map(make: Callable[[bytes | None, bytes], tuple[bytes | None, bytes]
 
 
 def python_array_map(make: Callable[[bytes | None, bytes], list[tuple[bytes | None, bytes]]]) -> ArrayMap:
-    import pandas as pd
-
     @F.pandas_udf("array<struct<key:binary,value:binary>>")
     def run(key: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([[{"key": k2, "value": v2} for k2, v2 in make(k, v)] for k, v in zip(key, value, strict=True)])

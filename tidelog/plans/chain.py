@@ -2,7 +2,7 @@
 
 A chain is one logical plan. Where a step can fail, its error expression becomes a column: ``halt`` (the default) cuts each partition before
 its first error, by a join with the few first errors, before later steps see what follows; ``skip`` leaves the failing records out;
-``fail`` makes the job fail. ``errors`` of the result has the failing records.
+``fail`` looks for errors first and raises one. ``errors`` of the result has the failing records.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ChainInitError, LogError, LookBackError, TransformInitError, TransformNotFound
+from ..errors import ChainInitError, LogError, LookBackError, TransformInitError, TransformNotFound, TransformRuntimeError
 from ..offsets import partition_offsets
 from ..operators import library  # noqa: F401  registers the bundled transforms
 from ..operators.base import REGISTRY, LookBack, Registry, Step
@@ -89,7 +89,8 @@ class Chain:
         for k, step in enumerate(self.steps(history if history is not None else log, now_ms, high_watermark)):
             if step.error is not None:
                 if policy == "fail":
-                    log = log.where(F.when(step.error.isNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"{step.kind}: "), step.error, F.lit(" at offset "), F.col("offset").cast("string"))).cast("boolean")))
+                    if bad := log.withColumn("_hint", step.error).where(F.col("_hint").isNotNull()).first():
+                        raise TransformRuntimeError(bad["_hint"], bad["partition"], bad["offset"], step.kind, bad["key"] and bytes(bad["key"]), bytes(bad["value"]))
                 else:
                     bad = log.withColumn("_hint", step.error).where(F.col("_hint").isNotNull())
                     told = bad.select(*LOG_KEYS, "offset", F.lit(step.kind).alias("kind"), F.lit(k).alias("step"), F.col("_hint").alias("hint"), "key", "value")
