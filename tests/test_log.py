@@ -86,7 +86,7 @@ def test_partitioners(spark):
 def test_append(spark, tmp_path):
     store = write.Store(spark, f"file://{tmp_path}/log")
     rows = lambda *v: spark.createDataFrame([(i, None, str(x).encode()) for i, x in enumerate(v)], "i int, key binary, value binary")
-    topic = TopicSpec("d", 1, deduplication=Deduplication(6))
+    topic = TopicSpec("d", 1, deduplication=Deduplication(6, None))
     for batch in ((1, 2, 3, 1), (1, 2, 4, 5, 6), (7, 1, 2), (7, 8)):
         store.append(topic, rows(*batch), ["i"])
     assert values(store.read()) == list("1234567128")

@@ -17,6 +17,7 @@ from ..operators.state import prefix
 from ..plans.chain import Chain
 from ..plans.spec import TopicSpec
 from ..record import COLUMNS, LOG_KEYS, RECORD
+from .scratch import scratch_path
 
 #: Bytes of one request's records.
 MAX_REQUEST = 1_048_576
@@ -25,11 +26,14 @@ _CODECS = {"none": "uncompressed", "gzip": "gzip", "snappy": "snappy", "lz4": "l
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "_n") -> DataFrame:
     """Numbers rows from 0 in ``order`` without gathering them in one task: rows are range-partitioned and sorted, and each
-    partition starts where the ones before end."""
+    partition starts where the ones before end. The sorted rows are stored in between, so that a rerun can't draw other ranges."""
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33))
+    path = scratch_path(df.sparkSession, "numbered")
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
     counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     base = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return rows.join(F.broadcast(base), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+    return rows.join(base, "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
 def partitioned(records: DataFrame, partitions: int, available: list[int] | None = None, specific: int | None = None, order: list[Column | str] | None = None) -> DataFrame:
@@ -48,12 +52,12 @@ def partitioned(records: DataFrame, partitions: int, available: list[int] | None
 
 def with_offsets(records: DataFrame, order: list[Column | str], stored: DataFrame | None = None) -> DataFrame:
     """Dense offsets in each (topic, partition) by ``order``, after those of ``stored`` (topic, partition, leo). Without gaps, also
-    where transforms dropped records before."""
-    n = F.row_number().over(Window.partitionBy(*LOG_KEYS).orderBy(*order)).cast("long") - 1
-    out = records.withColumn("offset", n)
+    where transforms dropped records before. A long partition is numbered by many tasks."""
+    rows = numbered(records, [*LOG_KEYS, *order])
+    first = rows.groupBy(*LOG_KEYS).agg(F.min("_n").alias("_first"))
     if stored is not None:
-        out = out.join(stored.select(*LOG_KEYS, F.col("leo").alias("_leo")), list(LOG_KEYS), "left").withColumn("offset", F.col("offset") + F.coalesce("_leo", F.lit(0))).drop("_leo")
-    return out.select(*COLUMNS)
+        first = first.join(stored.select(*LOG_KEYS, F.col("leo").alias("_leo")), list(LOG_KEYS), "left").withColumn("_first", F.col("_first") - F.coalesce("_leo", F.lit(0))).drop("_leo")
+    return rows.join(first, list(LOG_KEYS)).withColumn("offset", F.col("_n") - F.col("_first")).select(*COLUMNS)
 
 
 def checked(records: DataFrame, max_request: int = MAX_REQUEST) -> DataFrame:
@@ -96,7 +100,7 @@ class Store:
         if topic.deduplication is not None:
             kept = Chain(topic.deduplication.call(self.registry), registry=self.registry).run(placed, policy="fail", history=now).records
             placed = with_offsets(kept, ["offset"], bounds)
-        out = placed.repartition(*LOG_KEYS).sortWithinPartitions(*LOG_KEYS, "offset")
+        out = placed.repartitionByRange(*LOG_KEYS, "offset").sortWithinPartitions(*LOG_KEYS, "offset")
         out.write.mode("append").partitionBy(*LOG_KEYS).option("compression", _CODECS[compression]).parquet(self.path)
         return placed
 
