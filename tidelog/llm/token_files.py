@@ -177,8 +177,35 @@ class WordCoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Memory: hashes in order with the place and number of their ids in the pool, some 20 bytes a piece; the latest apart."""
+        self.hashes, self.starts, self.lens = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        self.new: dict[int, tuple[int, int]] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _settle(self) -> None:
+        """Puts the latest pieces in order with the others."""
+        fresh = np.fromiter(self.new, np.uint64, len(self.new))
+        place = np.array(list(self.new.values()), np.int64).reshape(-1, 2)
+        order = np.argsort(fresh)
+        at = np.searchsorted(self.hashes, fresh[order])
+        self.hashes = np.insert(self.hashes, at, fresh[order])
+        self.starts = np.insert(self.starts, at, place[order, 0].astype(np.uint32))
+        self.lens = np.insert(self.lens, at, place[order, 1].astype(np.uint16))
+        self.new = {}
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of ids of each hash; -1 if it isn't known."""
+        starts, lens = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            starts[known], lens[known] = self.starts[at[known]], self.lens[at[known]]
+        if self.new:
+            rest = np.flatnonzero(starts < 0)
+            found = [self.new.get(h, (-1, 0)) for h in hashes[rest].tolist()]
+            if found:
+                starts[rest], lens[rest] = np.array(found, np.int64).T
+        return starts, lens
 
     @staticmethod
     def fits(definition: str) -> bool:
@@ -190,23 +217,27 @@ class WordCoder:
         known = split.get("pattern") == {"Regex": PIECES} and split.get("behavior") == "Removed" and split.get("invert") is True
         return kinds == ["NFC", "Replace", "Lowercase"] and known and [x.get("use_regex") for x in pre["pretokenizers"][1:]] == [False] and d.get("post_processor") is None and d["model"].get("dropout") is None
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        pieces, lens = [self.pool], np.zeros(len(words), np.int64)
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lens = [], np.zeros(len(words), np.int64)
         for i in range(0, len(words), 2000):
             e = self.tokenizer.encode(words[i : i + 2000], is_pretokenized=True, add_special_tokens=False)
-            pieces.append(np.array(e.ids, np.uint32))
+            ids.append(np.array(e.ids, np.uint32))
             if e.ids:
                 lens[i : i + 2000] = np.bincount(e.word_ids, minlength=len(words[i : i + 2000]))
-        base = len(self.starts)
-        self.known.update(zip(hashes.tolist(), range(base, base + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.pool = np.concatenate(pieces)
+        found = np.concatenate(ids)
+        starts = self.used + np.cumsum(lens) - lens
+        while len(self.pool) < self.used + len(found) + 1:
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2, np.uint32)])
+        self.pool[self.used : self.used + len(found)] = found
+        self.used += len(found)
+        short = lens < 1 << 16  # longer pieces are encoded anew each time
+        self.new.update(zip(hashes[short].tolist(), zip(starts[short].tolist(), lens[short].tolist(), strict=True), strict=True))
+        return starts, lens
 
     def encode(self, column, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, end, ids, ids a text) of runs of texts, each text with ``end_id`` at its end."""
         data, offs = buffers(column)
-        for i, j, d, o in blocks(data, offs, 2 << 20):
+        for i, j, d, o in blocks(data, offs):
             raw = d.tobytes()
             starts, ends, first = word_bounds(d, o)
             if not any(t in raw for t in self.added):
@@ -216,25 +247,26 @@ class WordCoder:
                 starts, ends = np.sort(np.concatenate([starts, cuts]), kind="stable"), np.sort(np.concatenate([ends, cuts]), kind="stable")
                 first = np.searchsorted(starts, o, "left")
             hashes, some, back = np.unique(word_hashes(d, starts, ends, True), return_index=True, return_inverse=True)
-            if len(self.known) > MEMO_WORDS:
+            if len(self.hashes) + len(self.new) > MEMO_WORDS:
                 self._forget()
-            at = np.array([self.known.get(h, -1) for h in hashes.tolist()], np.int64)
+            at, many = self._places(hashes)
             new = np.flatnonzero(at < 0)
             if len(new):
-                self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)])
-                at[new] = np.arange(len(self.starts) - len(new), len(self.starts))
-            at = at[back]
+                at[new], many[new] = self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)])
+                if len(self.new) > 50_000:
+                    self._settle()
+            at, many = at[back], many[back]
             # every text's end is one more word, that of the end id
             n, texts = len(at), j - i
             lens, where = np.empty(n + texts, np.int64), np.empty(n + texts, np.int64)
             tail = first[1:] + np.arange(texts)
             body = np.ones(n + texts, bool)
             body[tail] = False
-            pool = np.concatenate([self.pool, np.array([end_id], np.uint32)]) if texts else self.pool
-            lens[body], where[body] = self.lens[at], self.starts[at]
-            lens[tail], where[tail] = 1, len(pool) - 1
+            lens[body], where[body] = many, at
+            self.pool[self.used] = end_id
+            lens[tail], where[tail] = 1, self.used
             upto = np.cumsum(lens)
-            ids = pool[np.repeat(where - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
+            ids = self.pool[np.repeat(where - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
             yield i, j, ids, np.diff(np.concatenate([[0], upto[tail]]))
 
 
