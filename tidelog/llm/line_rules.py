@@ -21,7 +21,7 @@ from .common import WORD, save
 #: A line is boilerplate in more distinct documents than MIN_DOCS and than SHARE of its host's distinct documents.
 MIN_DOCS, SHARE = 10, 0.02
 #: A document is depleted with fewer words left than LEFT_WORDS or than LEFT_PERCENT of its words.
-LEFT_WORDS, LEFT_PERCENT = 10, 30
+LEFT_WORDS, LEFT_PERCENT = 5, 30
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
