@@ -163,7 +163,7 @@ def test_formats(spark):
     mixed = literal_log(spark, [b"\x00\x01", '{"a":1}', "plain"])
     shown = lambda kind, **how: [r[0] for r in mixed.orderBy("offset").select(views.formatted(kind, **how)).collect()]
     assert shown("dynamic") == ["00 01", '{"a":1}', "plain"] and shown("binary")[2] == "70 6c 61 69 6e"
-    assert shown("json", suppress_unknown=True) == [None, '{"a":1}', None] and json.loads(shown("json")[2]) == {"error": "not JSON"}
+    assert shown("json", suppress_unknown=True) == [None, '{\n  "a": 1\n}', None] and json.loads(shown("json")[2]) == {"error": "not JSON"}
     assert shown("text")[0] == "binary: (2 bytes)" and shown("raw")[1] == '{"a":1}'
 
 
@@ -244,3 +244,31 @@ def test_typed(spark):
     assert [(r["metric"], r["count"], r["description"]) for r in good.collect()] == [("a", 1.5, None)]
     assert [r["reason"] for r in bad.orderBy("offset").collect()] == ["missing field metric", "malformed record", "malformed record", "invalid field count"]
     assert text("value") is not None
+
+
+def test_chains_as_streams(spark, tmp_path):
+    """A chain gives the same over a stream as over the stored log."""
+    from tidelog.operators.base import LookBack
+    from tidelog.plans.chain import Call
+    from tidelog.streaming.runtime import drain, run_stream
+
+    path = f"file://{tmp_path}/log"
+    records = ["4", "x", "8", "2", "8", "6", "12", "4", "10"]
+    literal_log(spark, records).write.parquet(path)
+    chains = {
+        "sum": Chain("half-even", Call("sum", seed="5")), "from": Chain(Call("sum-from", {"initial_value": "7"})), "concat": Chain(Call("contains", {"key": "1"}), "concat"),
+        "dedup": Chain(Call("deduplicate", {"count": "2"})), "rise": Chain("rising"),
+    }
+    for name, chain in chains.items():
+        drain(run_stream(scan.follow_log(spark, path), chain), f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-state")
+        assert values(spark.read.parquet(f"file://{tmp_path}/{name}")) == values(chain.run(spark.read.parquet(path), policy="skip").records), name
+    counts = f"file://{tmp_path}/counts"
+    literal_log(spark, ['{"a":1}', '{"a":2,"b":1}']).write.parquet(counts)
+    drain(run_stream(scan.follow_log(spark, counts), Chain("add-counts")), f"file://{tmp_path}/c", f"file://{tmp_path}/c-state")
+    assert values(spark.read.parquet(f"file://{tmp_path}/c"))[-1] == '{"a":3,"b":1}'
+    drain(run_stream(scan.follow_log(spark, path), Chain(Call("contains", {"key": "2"}), "average")), f"file://{tmp_path}/a", f"file://{tmp_path}/a-state")
+    assert json.loads(values(spark.read.parquet(f"file://{tmp_path}/a"))[-1]) == {"average": 7.0, "count": 2}
+    history = literal_log(spark, ["1", "8", "4"])
+    for name, call, want in (("d", Call("deduplicate", {"count": "2"}, LookBack(last=2)), ["x", "8", "2", "6", "12", "4", "10"]), ("r", Call("rising", look_back=LookBack(last=1)), ["8", "12"])):
+        drain(run_stream(scan.follow_log(spark, path), Chain(call), history), f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-state")
+        assert values(spark.read.parquet(f"file://{tmp_path}/{name}")) == want

@@ -43,3 +43,18 @@ def yaml_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     for s in parts:
         yield s.map(one)
+
+
+@F.pandas_udf(StringType())
+def pretty_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A JSON text with a line for each member, null where it is no JSON."""
+    import json
+
+    def one(x: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(x), indent=2, ensure_ascii=False) if x is not None else None
+        except ValueError:
+            return None
+
+    for s in parts:
+        yield s.map(one)

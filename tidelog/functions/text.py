@@ -39,15 +39,20 @@ def i32_error(c: Column) -> Column:
     )
 
 
+def _utc(ms: Column) -> Column:
+    """A time that the session's zone shows as UTC does."""
+    return F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone())
+
+
 def utc_text(ms: Column) -> Column:
     """``2024-01-01 00:00:00 UTC``, with milliseconds if there are any; ``unknown`` without a time."""
-    t = F.timestamp_millis(ms)
+    t = _utc(ms)
     return F.when(ms.isNull(), "unknown").otherwise(F.concat(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.when(F.pmod(ms, F.lit(1000)) != 0, F.date_format(t, ".SSS")).otherwise(""), F.lit(" UTC")))
 
 
 def rfc3339(ms: Column) -> Column:
     """``2024-01-01T00:00:00.000Z``; ``NA`` without a time."""
-    return F.when(ms.isNull(), "NA").otherwise(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return F.when(ms.isNull(), "NA").otherwise(F.date_format(_utc(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def looks_binary(raw: Column) -> Column:

@@ -49,7 +49,7 @@ def events_log(spark: SparkSession, sf_dir: str, value: Column | str = "props")
     """Events as a log of four partitions by user."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     value = F.col(value) if isinstance(value, str) else value
-    return to_log(df, "events", F.col("user_id") % 4, ["event_id"], epoch_ms("ts"), F.col("user_id").cast("string"), value.cast("string"))
+    return to_log(df, "events", F.col("user_id") % 4, ["event_id"], epoch_ms(df, "ts"), F.col("user_id").cast("string"), value.cast("string"))
 
 
 def documents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +439,8 @@ def append_filtered(spark, sf_dir):
     """Two appends to a store, the first of the earlier half, through a chain: offsets stay dense."""
     from ..sources.scratch import scratch_path
 
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", epoch_ms("ts").alias("timestamp"), F.lit(None).cast("binary").alias("key"), number().cast("string").cast("binary").alias("value"), F.col("event_type"))
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = raw.select("event_id", epoch_ms(raw, "ts").alias("timestamp"), F.lit(None).cast("binary").alias("key"), number().cast("string").cast("binary").alias("value"), F.col("event_type"))
     half = df.agg((F.max("event_id") / 2).cast("long")).first()[0] or 0
     topic = load_topic("meta: {name: t}\npartition: {count: 3}\n")
     store = write.Store(spark, scratch_path(spark, "store"))
@@ -513,7 +514,7 @@ def compact_log(spark, sf_dir):
 def view_grouped(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", number())
     total = F.round(F.sum(F.col("value") * F.col("k")), 2)
-    return views.grouped_view(rows, ["event_type"], {"total": total, "n": F.count(F.lit(1)), "high": F.max("k"), "low": F.min("k")}, epoch_ms("ts") >= 1_705_276_800_000, F.col("k") > 10)
+    return views.grouped_view(rows, ["event_type"], {"total": total, "n": F.count(F.lit(1)), "high": F.max("k"), "low": F.min("k")}, epoch_ms(rows, "ts") >= 1_705_276_800_000, F.col("k") > 10)
 
 
 @query(""", p AS (SELECT event_type, ts, k AS price FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) WHERE event_id % 50 = 0)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.json import is_json
+from ..functions.json import pretty_json
 from ..functions.text import looks_binary, pretty_hex, rfc3339
 from ..record import text
 
@@ -40,7 +40,7 @@ def formatted(kind: str = "dynamic", suppress_unknown: bool = False) -> Column:
         return pretty_hex(F.col("value"))
     if kind == "json":
         bad = F.lit(None).cast("string") if suppress_unknown else F.to_json(F.struct(F.lit("not JSON").alias("error")))
-        return F.when(is_json(v), F.to_json(F.try_parse_json(v))).otherwise(bad)
+        return F.coalesce(pretty_json(v), bad)
     if kind == "raw":
         return v
     raise ValueError(f"unknown format {kind}")

@@ -52,8 +52,10 @@ def literal_log(spark, values: list, topic: str = "topic", partition: int = 0, k
     return spark.createDataFrame(rows, RECORD)
 
 
-def epoch_ms(ts: str) -> Column:
-    return F.unix_millis(F.col(ts).cast("timestamp"))
+def epoch_ms(df: DataFrame, ts: str) -> Column:
+    """Milliseconds of a time column. Times without a zone count as UTC, whatever the session's zone is."""
+    at = F.col(ts).cast("timestamp")
+    return F.unix_millis(F.from_utc_timestamp(at, F.current_timezone()) if df.schema[ts].dataType.typeName() == "timestamp_ntz" else at)
 
 
 def shown(log: DataFrame, *more: str) -> DataFrame:
