@@ -91,6 +91,11 @@ def test_append(spark, tmp_path):
         store.append(topic, rows(*batch), ["i"])
     assert values(store.read()) == list("1234567128")
     assert [r["offset"] for r in store.read().orderBy("offset").collect()] == list(range(10))
+    assert [(r["partition"], r["leo"]) for r in store.bounds("d").collect()] == [(0, 10)] and store.bounds("nobody").count() == 0
+    wide = TopicSpec("w", 3)
+    for batch, p in (((1, 2, 3), 0), ((4,), 2), ((5, 6), 0), ((7,), 1), ((8,), 2)):
+        store.append(wide, rows(*batch), ["i"], specific=p)
+    assert sorted((r["partition"], r["leo"]) for r in store.bounds("w").collect()) == [(0, 5), (1, 1), (2, 2)]
     with pytest.raises(CompressionError):
         store.append(TopicSpec("z", compression="zstd"), rows(1), ["i"])
     with pytest.raises(RecordTooLarge):

@@ -52,13 +52,14 @@ def read_log(
     consumer_offsets: DataFrame | None = None,
     consumer_id: str | None = None,
     check: bool = False,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """The records of a bounded read.
 
     start: where to begin in each partition; the end, if not given. end: last offset to be read (included). isolation: up to
     the last record, or the last committed one by ``high_watermark`` (topic, partition, hw). consumer_offsets (consumer_id, topic,
     partition, offset): relative starts count from the record after the consumer's stored one. check: raise if an absolute start
-    lies outside of a partition."""
+    lies outside of a partition. bounds (topic, partition, start, leo, hw): the partitions' bounds, where they are known already."""
     start = start or Offset.end()
     if end is not None and start.kind == "absolute" and end < start.value:
         raise ValueError("the end offset lies before the start offset")
@@ -72,7 +73,7 @@ def read_log(
         if check:
             validate(log, start.value)
         return log_read.where(F.col("offset") >= start.value)
-    bounds = partition_offsets(log, high_watermark)
+    bounds = partition_offsets(log, high_watermark) if bounds is None else bounds
     stable = F.col("hw") if isolation == READ_COMMITTED else F.col("leo")
     consumer = None
     if consumer_offsets is not None and consumer_id is not None:

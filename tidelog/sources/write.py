@@ -81,6 +81,22 @@ class Store:
         except AnalysisException:
             return self.spark.createDataFrame([], RECORD)
 
+    def bounds(self, topic: str, partitions: int | None = None) -> DataFrame:
+        """topic, partition, leo: a row for each of the topic's partitions. The folder ``_bounds`` remembers them as of some append, so
+        only partitions that it doesn't know and files with later offsets are read, which directories and row group statistics tell:
+        an append to a long log doesn't read it."""
+        rows = self.read().where(F.col("topic") == topic)
+        try:
+            known = self.spark.read.schema("topic string, partition int, leo long").parquet(f"{self.path}/_bounds").where(F.col("topic") == topic)
+            leo = {r["partition"]: r["leo"] for r in known.groupBy("partition").agg(F.max("leo").alias("leo")).collect()}
+        except AnalysisException:
+            leo = {}
+        if leo and partitions is not None:
+            rows = rows.where((F.col("offset") >= min(leo.values())) | F.col("partition").isin([p for p in range(partitions) if p not in leo]))
+        for r in rows.groupBy("partition").agg((F.max("offset") + 1).alias("leo")).collect():
+            leo[r["partition"]] = max(r["leo"], leo.get(r["partition"], 0))
+        return self.spark.createDataFrame([(topic, p, n) for p, n in sorted(leo.items())], "topic string, partition int, leo long")
+
     def append(
         self, topic: TopicSpec, records: DataFrame, order: list[Column | str], specific: int | None = None, available: list[int] | None = None,
         chain: Chain | None = None, compression: str = "none", max_request: int = MAX_REQUEST,
@@ -93,7 +109,7 @@ class Store:
             records = records.withColumn("timestamp", F.unix_millis(F.current_timestamp()))
         rows = checked(partitioned(records.withColumn("topic", F.lit(topic.name)), topic.partitions, available, specific, order), max_request)
         now = self.read().where(F.col("topic") == topic.name)
-        bounds = now.groupBy(*LOG_KEYS).agg((F.max("offset") + 1).alias("leo"))
+        bounds = self.bounds(topic.name, topic.partitions)
         placed = with_offsets(rows, order, bounds)
         if chain is not None:
             placed = with_offsets(chain.run(placed, policy="fail").records, ["offset"], bounds)
@@ -102,6 +118,7 @@ class Store:
             placed = with_offsets(kept, ["offset"], bounds)
         out = placed.repartitionByRange(*LOG_KEYS, "offset").sortWithinPartitions(*LOG_KEYS, "offset")
         out.write.mode("append").partitionBy(*LOG_KEYS).option("compression", _CODECS[compression]).parquet(self.path)
+        self.bounds(topic.name, topic.partitions).coalesce(1).write.mode("append").parquet(f"{self.path}/_bounds")
         return placed
 
 
