@@ -214,6 +214,26 @@ class Model:
         np.maximum.at(out, text, logit)
         return out
 
+    def _ranks(self, docs: list[tuple]) -> list[np.ndarray]:
+        """The log-odds of each document's windows; many documents at a time."""
+        out: list[np.ndarray] = []
+        i = 0
+        while i < len(docs):
+            j, n = i, 0
+            while j < len(docs) and (j == i or n + len(docs[j][3]) <= 4096):
+                n += len(docs[j][3])
+                j += 1
+            some, base, rows = docs[i:j], 0, []
+            for d in some:
+                rows.append(np.where(d[3] >= 0, d[3] + base, -1))
+                base += len(d[0])
+            cs, ws = np.concatenate([d[1] for d in some]), np.concatenate([d[2] for d in some])
+            x = np.concatenate([np.concatenate([d[0] for d in some]), self.p["chars"][cs], self.p["words"][ws]], 1).astype(np.float32)
+            logit = forward(self.p, x, np.concatenate(rows))
+            out += np.split(logit, np.cumsum([len(d[3]) for d in some])[:-1])
+            i = j
+        return out
+
     def fit(self, texts: list[str], y: np.ndarray, seed: int = 11, rounds: int = 6, batch: int = 128) -> Model:
         r = np.random.default_rng(seed)
         half = np.zeros(len(texts), int)
@@ -288,10 +308,7 @@ class Model:
                     m += 0.1 * (grad - m)
                     v += 0.01 * (grad * grad - v)
                     p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            ranks = []
-            for x3, cs, ws, rows in docs:
-                x = np.concatenate([x3, p["chars"][cs], p["words"][ws]], 1).astype(np.float32)
-                ranks.append(forward(p, x, rows))
+            ranks = self._ranks(docs)
         self.slope, self.shift = logistic(np.array([v.max() for v in ranks], float), y.astype(float))
         return self
 
