@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save
+from .common import WORD, discard, save
 
 #: Sources up to this many are broadcast to the documents; beyond that they are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -70,7 +70,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     inside = inside.withColumn("at", F.col("before") + F.sum("g").over(w) - F.col("g"))
     cut = inside.where((F.col("at") <= F.col("rest")) & (F.col("rest") < F.col("at") + F.col("g"))).select(F.col("source").alias("_src"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), (F.col("rest") - F.col("at")).alias("cut_left"), F.col("g").alias("cut_size"))
     cuts = goal.join(cut, F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src")
-    return sized, save(cuts, "mix-cuts")
+    cuts = save(cuts, "mix-cuts")
+    discard(groups, goal)
+    return sized, cuts
 
 
 def with_cuts(rows: DataFrame, source, cuts: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label for the nodes of ``edges`` (a, b), by alternating large and small stars; the label is the component's least node."""
-    e = save(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = save(bands.join(buckets, "key"), "near-members")
     few = ["node", "doc", "cid"]
     texts = save(with_text(classes.join(members.select("node").distinct(), "node", "left_semi").select(*few), docs, width, id_col, text_col), "near-texts")
-    pairs = save(likely(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, at), "near-pairs")
+    pairs = likely(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, at)
     with arrow_rows(spark, 1000):
         links = save(verified(pairs, texts, width, percent), "near-links")
     labels = components(links)
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     known = known.join(moved, known["label"] == moved["old"], "left").withColumn("label", F.coalesce("to", "label")).drop("old", "to")
     roots = known.groupBy("label").agg(F.min("doc").alias("component_id"))
     final = save(known.join(roots, "label").select("cid", "component_id"), "near-components")
-    discard(texts, members)
+    discard(texts, members, classes, links, more)
     out = base.select("doc_id", "n_shingles", "cid").join(final, "cid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -332,7 +332,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([out.total], pa.int64())})
 
-    files = save(rows.mapInArrow(put, "path string, first_id long, n_docs long, n_ids long"), "token-files")
+    files = rows.mapInArrow(put, "path string, first_id long, n_docs long, n_ids long")
+    files = save(files.repartition(-(-n // 1000)), "token-files")  # a row for each file: no file of its own for each
     w = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
 
@@ -350,7 +351,7 @@ def read(files: DataFrame) -> DataFrame:
                     cols = list(zip(*found[i : i + 10_000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.select("path", "base").repartition(max(files.sparkSession.sparkContext.defaultParallelism, 64), "path")
+    spread = files.select("path", "base").repartition(max(files.sparkSession.sparkContext.defaultParallelism, files.count() // 4, 1))
     return spread.mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
