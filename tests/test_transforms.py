@@ -210,8 +210,6 @@ def test_python_transforms(spark):
 
 
 def test_metrics(spark):
-    from pyspark.sql import Observation  # noqa: F401  the names are seen by listeners
-
     out = ran(spark, ["apple", "fruit"], "contains-a", metrics="m").records
     assert out.count() == 1
 
@@ -229,3 +227,36 @@ def test_registry():
     transform("filter", "f", "1.0.0", registry=r)(lambda p: Filter("filter"))
     transform("filter", "f", "2.0.0", registry=r)(lambda p: Filter("filter"))
     assert r.find("f").version == "2.0.0" and r.find("f@1.0.0").version == "1.0.0"
+
+
+def test_reshape(spark):
+    steps = [{"operation": "shift", "spec": {"payload": {"device": "device", "ids": {"*": "all.&"}}, "a|b": "ab"}}, {"operation": "default", "spec": {"device": {"type": "mobile"}, "new": [1]}}, {"operation": "remove", "spec": {"all": {"1": ""}}}]
+    call = Call("json-reshape", {"spec": json.dumps(steps)})
+    doc = {"payload": {"device": {"id": 5}, "ids": ["x", "y"], "rest": 1}, "a": 1, "b": 2, "c": 3}
+    out = ran(spark, [json.dumps(doc), "[1]"], call)
+    assert [json.loads(v) for v in values(out.records)] == [{"device": {"id": 5, "type": "mobile"}, "all": {"0": "x"}, "ab": [1, 2], "new": [1]}]
+    assert out.errors.first()["hint"] == "expected a JSON object"
+    for bad in ("nonsense", '[{"operation": "sort", "spec": {}}]', '[{"operation": "shift"}]'):
+        with pytest.raises(ChainInitError):
+            ran(spark, ["{}"], Call("json-reshape", {"spec": bad}))
+
+
+def test_columns(spark):
+    mapping = {"table": "t", "map-columns": {"id": {"json-key": "device.id", "value": {"type": "int", "default": "0", "required": True}}, "fact": {"json-key": "fact", "value": {"type": "text", "required": True}}, "record": {"json-key": "$", "value": {"type": "jsonb"}}}}
+    out = ran(spark, ['{"device":{"id":7},"fact":"f"}', '{"fact":"g"}', "{}"], Call("json-columns", {"mapping": json.dumps(mapping)}))
+    first, second = (json.loads(v) for v in values(out.records))
+    assert first["table"] == "t" and first["columns"]["id"] == 7 and json.loads(first["columns"]["record"]) == {"device": {"id": 7}, "fact": "f"} and second["columns"]["id"] == 0
+    assert out.errors.first()["hint"] == "missing required value for column fact"
+    with pytest.raises(ChainInitError):
+        ran(spark, ["{}"], Call("json-columns", {"mapping": '{"table": "t", "map-columns": {"a": {"json-key": "a", "value": {"type": "blob"}}}}'}))
+
+
+def test_harness(spark, tmp_path, capsys):
+    from tidelog.plans.harness import main, try_chain
+
+    (tmp_path / "c.yaml").write_text("transforms:\n- uses: rising\n")
+    (tmp_path / "in.txt").write_text("1\n2\n3\n")
+    assert main(["--chain", f"{tmp_path}/c.yaml", "--file", f"{tmp_path}/in.txt", "--record", "2", "--lookback-last", "1"]) == 0
+    assert capsys.readouterr().out == "3\n"
+    assert main(["--chain", f"{tmp_path}/c.yaml", "--text", "x"]) == 1
+    assert values(try_chain(spark, [Call("json-array")], ['["a"]'], key="k").records) == ['"a"']

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +104,32 @@ def json_to_yaml(params: dict) -> Map:
     return Map("map", F.when(~J.is_json(V()), "expected JSON"), F.col("key"), J.yaml_text(V()))
 
 
+@transform("map", "json-reshape", required=("spec",))
+def json_reshape(params: dict) -> Map:
+    """JSON objects by a list of shift, default and remove operations."""
+    from ..functions.reshape import parse, reshape
+
+    steps = parse(params["spec"])
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: reshape(x, steps))
+
+    made = run(V())
+    v = F.try_parse_json(V())
+    return Map("map", F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "expected a JSON object"), F.col("key"), made)
+
+
+@transform("map", "json-columns", required=("mapping",))
+def json_columns(params: dict) -> Map:
+    """JSON objects as ``{"table": ..., "columns": {...}}`` by a mapping of columns to keys, with types and defaults."""
+    from ..plans.views import Mapping
+
+    m = Mapping.load(params["mapping"])
+    columns = F.struct(*[c.alias(n) for n, c in m.columns(V()).items()])
+    return Map("map", m.error(V()), F.col("key"), F.to_json(F.struct(F.lit(m.table).alias("table"), columns.alias("columns")), {"ignoreNullFields": "false"}))
+
+
 @transform("map", "with-timestamp")
 def with_timestamp(params: dict) -> Map:
     return Map("map", utf8(), F.col("key"), F.concat_ws(":", F.col("offset").cast("string"), T.utc_text(F.col("timestamp")), V()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -245,6 +246,22 @@ def map_with_timestamp(spark, sf_dir):
     return run(events_log(spark, sf_dir, "event_type"), "with-timestamp")
 
 
+@query(f"""SELECT {COLS}, CASE WHEN k % 2 = 0 THEN '{{"device":{{"name":"' || event_type || '","type":"mobile"}},"n":' || k || '}}' ELSE '{{"n":' || k || ',"device":{{"type":"mobile"}}}}' END AS value FROM ev""")
+def map_reshape(spark, sf_dir):
+    device = F.when(number() % 2 == 0, F.struct(F.col("event_type").alias("name")))
+    log = events_log(spark, sf_dir, F.to_json(F.struct(F.struct(device.alias("device"), number().alias("k")).alias("payload"), F.lit(1).alias("length"))))
+    steps = [{"operation": "remove", "spec": {"length": ""}}, {"operation": "shift", "spec": {"payload": {"device": "device", "k": "n"}}}, {"operation": "default", "spec": {"device": {"type": "mobile"}}}]
+    return run(log, Call("json-reshape", {"spec": json.dumps(steps)}))
+
+
+@query("""SELECT "partition", "offset", coalesce(CASE WHEN k > 50 THEN k END, 0)::INT AS device_id, event_type AS fact FROM ev""")
+def map_columns(spark, sf_dir):
+    log = events_log(spark, sf_dir, F.to_json(F.struct(F.struct(F.when(number() > 50, number()).alias("id")).alias("device"), F.col("event_type").alias("fact"))))
+    m = views.Mapping.load({"table": "t", "map-columns": {"device_id": {"json-key": "device.id", "value": {"type": "int", "default": "0", "required": True}}, "fact": {"json-key": "fact", "value": {"type": "text", "required": True}}, "record": {"json-key": "$", "value": {"type": "jsonb", "required": True}}}})
+    rows, _ = views.mapped_rows(log, m)
+    return rows.where(F.col("record").isNotNull()).drop("record")
+
+
 @query(f"SELECT {COLS}, (k // 2)::VARCHAR AS value FROM ev WHERE k % 2 = 0")
 def filter_map_half(spark, sf_dir):
     return run(k_log(spark, sf_dir), "half-even")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,6 +98,67 @@ def inferred_table(log: DataFrame, name: str = "inferred") -> TableFormat:
     return TableFormat(name, tuple(TableColumn(k) for k in sorted(first["k"])) if first else ())
 
 
+#: Column types of a mapping, as Spark's.
+TYPES = {"int": "int", "bigint": "long", "float": "double", "double precision": "double", "text": "string", "bool": "boolean", "timestamp": "timestamp", "numeric": "decimal(38,10)", "json": "string", "jsonb": "string"}
+
+
+@dataclass(frozen=True)
+class MappedColumn:
+    name: str
+    json_key: str
+    type: str
+    default: str | None = None
+    required: bool = False
+
+
+@dataclass(frozen=True)
+class Mapping:
+    """Which key of a JSON object goes to which column of a table; ``$`` is the whole object."""
+
+    table: str
+    mapped: tuple[MappedColumn, ...]
+
+    @staticmethod
+    def load(said: str | dict) -> Mapping:
+        doc = json.loads(said) if isinstance(said, str) else said
+        out = []
+        for name, c in doc["map-columns"].items():
+            v = c.get("value") or {}
+            kind = str(v.get("type", "text")).lower()
+            if kind not in TYPES:
+                raise ValueError(f"unknown column type {kind}")
+            out.append(MappedColumn(name, c["json-key"], kind, None if v.get("default") is None else str(v["default"]), bool(v.get("required", False))))
+        return Mapping(doc["table"], tuple(out))
+
+    def _value(self, c: MappedColumn, v: Column) -> Column:
+        path = "$" if c.json_key == "$" else "$." + c.json_key.removeprefix("$.")
+        if c.type in ("json", "jsonb"):
+            found = F.to_json(F.try_variant_get(v, path, "variant"))
+        else:
+            found = F.try_variant_get(v, path, "string").try_cast(TYPES[c.type])
+        return found if c.default is None else F.coalesce(found, F.lit(c.default).try_cast(TYPES[c.type]))
+
+    def columns(self, value: Column) -> dict[str, Column]:
+        v = F.try_parse_json(value)
+        return {c.name: self._value(c, v) for c in self.mapped}
+
+    def error(self, value: Column) -> Column:
+        v = F.try_parse_json(value)
+        out = F.when(v.isNull(), "expected JSON")
+        for c in self.mapped:
+            if c.required:
+                out = out.when(self._value(c, v).isNull(), f"missing required value for column {c.name}")
+        return out
+
+
+def mapped_rows(log: DataFrame, mapping: Mapping) -> tuple[DataFrame, DataFrame]:
+    """(rows with the mapping's typed columns; records left out because a required value is missing, with a reason)."""
+    v = text("value")
+    rows = log.withColumn("_reason", mapping.error(v))
+    good = rows.where(F.col("_reason").isNull()).select("partition", "offset", *[c.alias(n) for n, c in mapping.columns(v).items()])
+    return good, rows.where(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason")
+
+
 def grouped_view(rows: DataFrame, keys: list[str], measures: dict[str, Column], since: Column | None = None, where: Column | None = None) -> DataFrame:
     """An expanding window from ``since`` on: groups with their aggregates, as of now."""
     for test in (since, where):
