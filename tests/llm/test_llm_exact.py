@@ -65,6 +65,23 @@ def test_near_duplicates_are_exact(spark, monkeypatch):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in rows)
 
 
+def test_repeated_rows_are_one_class(spark):
+    """A third of all rows repeats one row; some others are near it, or share its id with another text."""
+    from tidelog.llm.near_dedup import near_duplicates
+
+    r = random.Random(9)
+    near = family(r, 12, 3)
+    rows = [(5, near[0])] * 400 + [(100 + i, t) for i, t in enumerate(near[1:])] + [(5, "another text of this id"), (7, "another text of this id")] + [(1000 + i, " ".join(f"v{r.randrange(900)}" for _ in range(40))) for i in range(60)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert len(got) == len(rows)
+    want = brute_components([(k, t) for k, (_, t) in enumerate(rows)], 4, 80)
+    least: dict = {}
+    for k, (d, _) in enumerate(rows):
+        least[want[k][1]] = min(d, least.get(want[k][1], d))
+    expected = sorted((d, want[k][0], least[want[k][1]]) for k, (d, _) in enumerate(rows))
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == expected
+
+
 def test_sketch_is_mergeable_and_unbiased():
     from tidelog.llm import setsketch
 

@@ -125,12 +125,18 @@ def likely(pairs: DataFrame, classes: DataFrame, at: float) -> DataFrame:
 
 
 def with_text(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """node, text for classes (node, doc, cid); a row of equal id and other text is left out."""
+    """node, text for classes (node, doc, cid); a row of equal id and other text is left out, and so are most of the rows that
+    repeat a document, which come one after another."""
 
     def run(batches):
         import pyarrow as pa
 
+        last = None
         for b in batches:
+            node = b.column(0).to_numpy()
+            first = pa.array(np.concatenate(([node[0] != last], node[1:] != node[:-1])) if len(node) else np.zeros(0, bool))
+            last = node[-1] if len(node) else last
+            b = b.filter(first)
             data, offs = buffers(b.column(2))
             cid = b.column(1).to_pylist()
             for i, j, d, o in blocks(data, offs):
