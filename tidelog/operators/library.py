@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import LookBackError, TransformInitError
 from ..functions import json as J
 from ..functions import text as T
-from ..record import LOG_KEYS, text
+from ..record import LOG_KEYS, by_partition, text
 from .base import Aggregate, ArrayMap, Filter, FilterMap, Map, Stateful, transform
 from .state import deduplicate, fold_rows, prefix
 
@@ -284,7 +284,7 @@ def rising(params: dict, seed: DataFrame | None = None) -> Stateful:
             base = F.lit(0)
         else:
             last = seed.groupBy(*LOG_KEYS).agg(F.max_by(T.parse_i32(V()), "offset").alias("_base"))
-            rows = rows.join(last, list(LOG_KEYS), "left")
+            rows = rows.join(by_partition(last), list(LOG_KEYS), "left")
             base = F.coalesce(F.col("_base"), F.lit(0))
         return rows.where(F.col("_i") > F.greatest(base, F.coalesce("_max", base))).select(*log.columns)
 

@@ -18,7 +18,7 @@ from ..errors import ChainInitError, LogError, LookBackError, TransformInitError
 from ..offsets import partition_offsets
 from ..operators import library  # noqa: F401  registers the bundled transforms
 from ..operators.base import REGISTRY, LookBack, Registry, Step
-from ..record import LOG_KEYS
+from ..record import LOG_KEYS, by_partition
 
 ERROR_SCHEMA = "topic string, partition int, offset long, kind string, step int, hint string, key binary, value binary"
 
@@ -43,7 +43,7 @@ def looked_back(log: DataFrame, look_back: LookBack, now_ms: int | None = None,
     """The records that a look-back replays, by the end of the log at the time the stream starts."""
     bounds = partition_offsets(log, high_watermark)
     low = F.greatest(F.col("hw") - look_back.last, F.col("start")) if look_back.last or look_back.age_ms is None else F.col("start")
-    rows = log.join(bounds.select(*LOG_KEYS, low.alias("_low"), "hw"), list(LOG_KEYS)).where((F.col("offset") >= F.col("_low")) & (F.col("offset") < F.col("hw")))
+    rows = log.join(by_partition(bounds.select(*LOG_KEYS, low.alias("_low"), "hw")), list(LOG_KEYS)).where((F.col("offset") >= F.col("_low")) & (F.col("offset") < F.col("hw")))
     if look_back.age_ms is not None:
         now = now_ms if now_ms is not None else int(datetime.datetime.now(datetime.UTC).timestamp() * 1000)
         rows = rows.where(F.col("timestamp") >= now - look_back.age_ms)
@@ -100,7 +100,7 @@ class Chain:
                     else:
                         first = told.groupBy(*LOG_KEYS).agg(F.min_by(F.struct("kind", "step", "hint", "key", "value"), "offset").alias("_x"), F.min("offset").alias("offset"))
                         cut = first.select(*LOG_KEYS, F.col("offset").alias("_cut"))
-                        log = log.join(cut, list(LOG_KEYS), "left").where(F.col("_cut").isNull() | (F.col("offset") < F.col("_cut"))).select(*log.columns)
+                        log = log.join(by_partition(cut), list(LOG_KEYS), "left").where(F.col("_cut").isNull() | (F.col("offset") < F.col("_cut"))).select(*log.columns)
                         errors.append(first.select(*LOG_KEYS, "offset", "_x.*"))
             log = step.apply(log)
         if metrics:

@@ -10,6 +10,7 @@ import yaml
 
 from ..errors import DeduplicationNameInvalid, DeduplicationNotLoaded, TransformNotFound
 from ..operators.base import REGISTRY, LookBack, Registry
+from ..record import MAX_PARTITIONS
 from .chain import Call, Chain
 
 _UNITS = {"ms": 1, "msec": 1, "millis": 1, "s": 1000, "sec": 1000, "second": 1000, "m": 60_000, "min": 60_000, "minute": 60_000, "h": 3_600_000, "hr": 3_600_000, "hour": 3_600_000, "d": 86_400_000, "day": 86_400_000, "w": 604_800_000, "week": 604_800_000}
@@ -106,6 +107,8 @@ class TopicSpec:
     def __post_init__(self):
         if self.partitions < 1:
             raise ValueError("a topic has at least one partition")
+        if self.partitions > MAX_PARTITIONS:
+            raise ValueError(f"a topic has at most {MAX_PARTITIONS} partitions")
         if self.retention_ms < 10_000:
             raise ValueError("retention is at least 10 seconds")
         if self.segment_bytes < 1024:

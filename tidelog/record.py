@@ -25,6 +25,16 @@ COLUMNS = tuple(RECORD.names)
 LOG_KEYS = ("topic", "partition")
 
 
+#: The most partitions that a topic may have.
+MAX_PARTITIONS = 100_000
+
+
+def by_partition(df: DataFrame) -> DataFrame:
+    """Marks a frame with one row for each log partition to be broadcast: a topic has at most MAX_PARTITIONS of them. Joined by a shuffle
+    instead, all records of a partition would meet in one task."""
+    return F.broadcast(df)
+
+
 def text(column: Column | str) -> Column:
     """Bytes as text. Not checked: see ``functions.text.utf8_error``."""
     return (F.col(column) if isinstance(column, str) else column).cast("string")

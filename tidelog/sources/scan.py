@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from ..errors import OffsetEvicted, OffsetOutOfRange, TopicNotFound
 from ..offsets import Offset, partition_offsets
-from ..record import COLUMNS, LOG_KEYS, RECORD
+from ..record import COLUMNS, LOG_KEYS, RECORD, by_partition
 
-#: Bounds of up to so many partitions are broadcast to the records; of more, they are joined by a shuffle.
-BROADCAST_PARTITIONS = 100_000
 READ_UNCOMMITTED, READ_COMMITTED = "read_uncommitted", "read_committed"
 #: Bytes of a fetch where nothing else is said.
 MAX_BYTES = 1_048_588
@@ -38,10 +36,6 @@ def follow_log(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path).select(*COLUMNS)
 
 
-def _bounds(bounds: DataFrame) -> DataFrame:
-    return F.broadcast(bounds) if bounds.count() <= BROADCAST_PARTITIONS else bounds
-
-
 def read_log(
     log: DataFrame,
     partitions: list[int] | None = None,
@@ -81,7 +75,7 @@ def read_log(
         bounds = bounds.join(mine, list(LOG_KEYS), "left")
         consumer = F.col("_next")
     bounds = bounds.select(*LOG_KEYS, start.column(F.col("start"), stable, consumer).alias("_from"), stable.alias("_to"))
-    out = log_read.join(_bounds(bounds), list(LOG_KEYS)).where((F.col("offset") >= F.col("_from")) & (F.col("offset") < F.col("_to")))
+    out = log_read.join(by_partition(bounds), list(LOG_KEYS)).where((F.col("offset") >= F.col("_from")) & (F.col("offset") < F.col("_to")))
     return out.select(*log.columns)
 
 
@@ -96,7 +90,7 @@ def validate(log: DataFrame, offset: int) -> None:
 def head(log: DataFrame, n: int, **how) -> DataFrame:
     """The first n records of each partition, by offset."""
     bounds = partition_offsets(log).select(*LOG_KEYS, (F.col("start") + n).alias("_to"))
-    return read_log(log, start=Offset.beginning(), **how).join(_bounds(bounds), list(LOG_KEYS)).where(F.col("offset") < F.col("_to")).select(*log.columns)
+    return read_log(log, start=Offset.beginning(), **how).join(by_partition(bounds), list(LOG_KEYS)).where(F.col("offset") < F.col("_to")).select(*log.columns)
 
 
 def tail(log: DataFrame, n: int, **how) -> DataFrame:

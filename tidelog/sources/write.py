@@ -16,7 +16,7 @@ from ..operators.base import REGISTRY, Registry
 from ..operators.state import prefix
 from ..plans.chain import Chain
 from ..plans.spec import TopicSpec
-from ..record import COLUMNS, LOG_KEYS, RECORD
+from ..record import COLUMNS, LOG_KEYS, RECORD, by_partition
 from .scratch import scratch_path
 
 #: Bytes of one request's records.
@@ -26,14 +26,14 @@ _CODECS = {"none": "uncompressed", "gzip": "gzip", "snappy": "snappy", "lz4": "l
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "_n") -> DataFrame:
     """Numbers rows from 0 in ``order`` without gathering them in one task: rows are range-partitioned and sorted, and each
-    partition starts where the ones before end. The sorted rows are stored in between, so that a rerun can't draw other ranges."""
+    partition starts where the ones before end (a row for each task, so it may be broadcast). The sorted rows are stored in between, so that a rerun can't draw other ranges."""
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33))
     path = scratch_path(df.sparkSession, "numbered")
     rows.write.parquet(path)
     rows = df.sparkSession.read.schema(rows.schema).parquet(path)
     counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     base = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return rows.join(base, "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+    return rows.join(F.broadcast(base), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
 def partitioned(records: DataFrame, partitions: int, available: list[int] | None = None, specific: int | None = None, order: list[Column | str] | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def with_offsets(records: DataFrame, order: list[Column | str], stored: DataFram
     first = rows.groupBy(*LOG_KEYS).agg(F.min("_n").alias("_first"))
     if stored is not None:
         first = first.join(stored.select(*LOG_KEYS, F.col("leo").alias("_leo")), list(LOG_KEYS), "left").withColumn("_first", F.col("_first") - F.coalesce("_leo", F.lit(0))).drop("_leo")
-    return rows.join(first, list(LOG_KEYS)).withColumn("offset", F.col("_n") - F.col("_first")).select(*COLUMNS)
+    return rows.join(by_partition(first), list(LOG_KEYS)).withColumn("offset", F.col("_n") - F.col("_first")).select(*COLUMNS)
 
 
 def checked(records: DataFrame, max_request: int = MAX_REQUEST) -> DataFrame:
@@ -134,5 +134,5 @@ def within_size(log: DataFrame, max_bytes: int, segment_bytes: int = 1) -> DataF
     total = rows.groupBy(*LOG_KEYS).agg(F.sum("_size").alias("_total"))
     excess = F.greatest(F.col("_total") - max_bytes, F.lit(0))
     total = total.select(*LOG_KEYS, (F.ceil(excess / segment_bytes) * segment_bytes).alias("_drop"))
-    rows = prefix(rows, {"_sum": ("sum", F.col("_size"))}, before=True).join(total, list(LOG_KEYS))
+    rows = prefix(rows, {"_sum": ("sum", F.col("_size"))}, before=True).join(by_partition(total), list(LOG_KEYS))
     return rows.where((F.col("_drop") == 0) | (F.coalesce("_sum", F.lit(0)) >= F.col("_drop"))).select(*log.columns)
