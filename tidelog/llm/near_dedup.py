@@ -6,7 +6,8 @@
    estimate from all registers, then on the full sets. Links give components.
 4. In buckets that still hold several components, members of different components are compared inside the task, in blocks of
    bounded size: by their registers, in the first band that they share, and where these leave a doubt on the full sets. Only one link
-   for each two components leaves the task.
+   for each two components leaves the task. The leader's component, as a rule nearly the whole bucket, is dealt to blocks once; the
+   few others meet each of its blocks and one another, so a large group of near copies costs in proportion to its size.
 
 No bucket is ever gathered whole, no pairs inside a component are looked at, and every link counts only after the full sets confirm it.
 
@@ -28,8 +29,8 @@ from .common import discard, save, ship
 
 #: Candidates are given up without a look at the full sets if a similarity below the limit is e**CUT times as likely as any above.
 CUT = 10.0
-#: Members of a bucket compared at once; larger buckets are split in blocks and all pairs of blocks.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 4_000_000
+#: Members of a bucket, and their shingles, in one block.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 2_000_000
 
 
 @contextlib.contextmanager
@@ -259,9 +260,15 @@ class Block:
 
 
 def across(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of bucket members (key, node, label, parts, n, sketch, text): links (a, b) between different components, verified on the full
-    sets inside the task. At most as many for each block as it has components."""
-    spread = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    """Of bucket members (key, node, label, base, settled, open, n, sketch, text): links (a, b) between different components, verified on
+    the full sets inside the task. At most as many for each block as it has components.
+
+    The members labelled ``base`` are dealt to the blocks 0 to settled - 1, the others to the following ``open`` ones; members of two blocks
+    meet, other than those of two settled blocks."""
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    blocks_ = F.col("settled") + F.col("open")
+    spread = members.withColumn("mine", F.when(F.col("label") == F.col("base"), part(F.col("settled"))).otherwise(F.col("settled") + part(F.col("open"))))
+    spread = spread.withColumn("other", F.explode(F.when(F.col("label") == F.col("base"), F.sequence(F.col("settled"), blocks_ - 1)).otherwise(F.sequence(F.lit(0), blocks_ - 1))))
     spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
     order = ["key", "i", "j"]
     spread = spread.repartition(*order).sortWithinPartitions(*order)
@@ -317,8 +324,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # every other pair of a bucket is one without its leader: it matters if their components still differ
     known = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sized = known.join(classes.select("node", "n", "sketch"), "node")
-    mixed = sized.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).where("x < y")
-    mixed = mixed.select("key", F.ceil(F.greatest(F.col("c") / BLOCK_MEMBERS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    each = sized.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("node").alias("m"))
+    mixed = each.groupBy("key").agg(F.min_by(F.struct("label", "c", "s"), "m").alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("key", F.col("x.label").alias("base"), parts(F.col("x.c"), F.col("x.s")).alias("settled"), parts(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("open"))
     with arrow_rows(spark, 1000):
         more = save(across(sized.join(mixed, "key").join(texts, "node"), width, percent), "near-links")
     if not more.isEmpty():
