@@ -371,3 +371,14 @@ def test_all_windows_are_read():
         assert (rows >= 0).sum(1).max() <= WINDOW and len(text) == len(rows)
         covered = {k * STRIDE + j for k in range(len(rows)) for j in range(WINDOW) if rows[k, j] >= 0}
         assert covered == set(range(n))
+
+
+def test_lines_count_real_documents(spark):
+    """Documents that share all lines but one are as many as they are; copies count once."""
+    from tidelog.llm.line_rules import judged
+
+    template = [f"shared line {k} of the template with some words in it" for k in range(10)]
+    rows = [(i, "\n".join([*template, f"own{i} word{i} x{i} y{i} z{i} v{i}"]), "h") for i in range(100)]
+    rows += [(1000 + i, "one text with a line\nthat is copied and a line\nof its own to keep it", "h") for i in range(50)]
+    got = {r["doc_id"]: (r["n_left_words"], r["kept"]) for r in judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == (6, False) for i in range(100)) and all(got[1000 + i] == (17, True) for i in range(50))

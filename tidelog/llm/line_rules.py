@@ -4,8 +4,8 @@ One pass over the texts gives each document's own measures and the hashes of its
 space as one space, trimmed). Per host (the document's source) the distinct documents of each line are counted. A line above the
 limit is boilerplate; documents of which too little is left without such lines are rejected.
 
-Copies must not make a text boilerplate, so documents that are copies of each other count once: for a line, a document is told
-apart by the least hash among its other lines (its own where there is no other).
+Copies must not make a text boilerplate, so documents of a host with the same set of lines count once; any other two count twice.
+ORACLE still tells documents apart by the least hash among their other lines, and so counts fewer where these are shared too.
 
 Defined cases: a null text has no words and fails the base rules; null and empty sources are one host; rows of equal id are
 judged each on its own; an empty table gives an empty result; columns other than id, text and source are ignored.
@@ -58,12 +58,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """Of rows with host and lines (hash, words): host, h, n_docs of the lines above the limit."""
-    d = docs.where(F.size("lines") > 0).select("host", F.array_distinct(F.col("lines")["h"]).alias("hs"))
-    d = d.withColumn("s1", F.array_min("hs"))
-    d = d.withColumn("s2", F.coalesce(F.array_min(F.filter("hs", lambda x: x != F.col("s1"))), F.col("s1")))
-    hosts = d.groupBy("host").agg(F.count_distinct("s1").alias("host_docs"))
-    lines = d.select("host", "s1", "s2", F.explode("hs").alias("h")).select("host", "h", F.when(F.col("h") == F.col("s1"), F.col("s2")).otherwise(F.col("s1")).alias("sig"))
-    counts = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    d = docs.where(F.size("lines") > 0).select("host", F.array_sort(F.array_distinct(F.col("lines")["h"])).alias("hs"))
+    own = d.withColumn("sig", F.md5(F.concat_ws(",", "hs").cast("binary"))).groupBy("host", "sig").agg(F.first("hs").alias("hs"))
+    hosts = own.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    counts = own.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
     return counts.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * F.lit(share)).select("host", "h", "n_docs")
 
 
