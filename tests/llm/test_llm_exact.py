@@ -382,3 +382,20 @@ def test_lines_count_real_documents(spark):
     rows += [(1000 + i, "one text with a line\nthat is copied and a line\nof its own to keep it", "h") for i in range(50)]
     got = {r["doc_id"]: (r["n_left_words"], r["kept"]) for r in judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i] == (6, False) for i in range(100)) and all(got[1000 + i] == (17, True) for i in range(50))
+
+
+def test_each_text_of_a_repeated_id_is_found(spark):
+    """Two texts of one id, each with a near copy, where every join is a sort-merge join."""
+    from tidelog.llm.near_dedup import near_duplicates
+
+    r = random.Random(4)
+    one, two = family(r, 2, 1), family(r, 2, 1)
+    rows = [(5, one[0]), (5, two[0]), (6, one[1]), (7, two[1])] + [(5, two[0])] * 3
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for some in (rows, rows[::-1]):
+            got = near_duplicates(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), width=4).collect()
+            assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(5, 5)] * 5 + [(6, 5), (7, 5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

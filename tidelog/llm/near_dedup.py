@@ -127,23 +127,27 @@ def likely(pairs: DataFrame, classes: DataFrame, at: float) -> DataFrame:
 
 def with_text(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """node, text for classes (node, doc, cid); a row of equal id and other text is left out, and so are most of the rows that
-    repeat a document, which come one after another."""
+    repeat a document, which come one after another. Every distinct text of a batch is held against the class id, once."""
 
     def run(batches):
         import pyarrow as pa
 
         last = None
         for b in batches:
+            if not b.num_rows:
+                continue
+            texts = b.column(2).dictionary_encode()
+            data, offs = buffers(texts.dictionary)
+            got = [class_ids(shingle_sets(d, o, width)) for _, _, d, o in blocks(data, offs)]
+            have = np.concatenate(got).tobytes() if got else b""
             node = b.column(0).to_numpy()
-            first = pa.array(np.concatenate(([node[0] != last], node[1:] != node[:-1])) if len(node) else np.zeros(0, bool))
-            last = node[-1] if len(node) else last
-            b = b.filter(first)
-            data, offs = buffers(b.column(2))
-            cid = b.column(1).to_pylist()
-            for i, j, d, o in blocks(data, offs):
-                got = class_ids(shingle_sets(d, o, width))
-                keep = pa.array([got[k - i].tobytes() == cid[k] for k in range(i, j)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).filter(keep), b.column(2).slice(i, j - i).filter(keep)], ["node", "text"])
+            right = [i for i, (k, cid) in enumerate(zip(texts.indices.to_pylist(), b.column(1).to_pylist(), strict=True)) if k is not None and have[16 * k : 16 * k + 16] == cid]
+            nodes_ = node[right]
+            if len(nodes_):
+                first = np.concatenate(([nodes_[0] != last], nodes_[1:] != nodes_[:-1]))
+                last = nodes_[-1]
+                some = pa.array(np.array(right, np.int64)[first])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(2).take(some)], ["node", "text"])
 
     d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     return nodes.select("node", "doc", "cid").join(d, "doc").select("node", "cid", "text").mapInArrow(run, "node long, text string")
