@@ -399,3 +399,17 @@ def test_each_text_of_a_repeated_id_is_found(spark):
             assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(5, 5)] * 5 + [(6, 5), (7, 5)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_passages_are_found_at_every_offset():
+    from tidelog.llm.decontaminate import Index, normal
+
+    r = random.Random(6)
+    letters = "abcdefghij"
+    for size in (75, 100, 121, 240, 333):
+        item = normal(" ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(90)))[:size]
+        index = Index([(0, item)])
+        for n in (74, 90, 150, 165):
+            parts = [f"{'xyz ' * 20}{item[i : i + n]}{' zyx' * 20}" for i in range(size - n + 1)]
+            assert {v[0] for v in index.find(parts)} == set(range(len(parts)))
+        assert not list(index.find([f"xyz {item[i : i + 40]} zyx" for i in range(size - 40)]))

@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are lower-cased and their white space made single spaces. A benchmark item is looked for by windows of WINDOW characters
-(the whole item where it is shorter), each with an edit budget of RATE of its characters. An occurrence of a window of m
+(the whole item where it is shorter), one every STRIDE, and of SHORT characters, one every STEP, each with an edit budget of RATE of
+its characters; any verbatim passage of SHORT + STEP - 1 characters of an item holds a whole short window. An occurrence of a window of m
 characters with at most e edits shares at least m - Q + 1 - Q * e of its q-grams with the document, on diagonals (place in the
 document less place in the window) that differ by at most e. So shared q-grams are counted in overlapping bands of 2 (e + 1) diagonals, one
 band starting every e + 1; bands that reach the bound name a region of the document, and a banded alignment of the window with
@@ -26,7 +27,9 @@ from .bytetext import U, _powers, mix
 from .common import ship
 
 Q, WINDOW, STRIDE, RATE = 12, 120, 60, 0.05
-#: Characters of benchmark text in one broadcast; its index takes some 60 bytes for each.
+#: Of the short windows, for passages that hold no long one: 74 characters, some 12 words.
+SHORT, STEP = 60, 15
+#: Characters of benchmark text in one broadcast; its index takes some 170 bytes for each.
 BLOCK_CHARS = 2_000_000
 #: Characters of documents scanned at once.
 SCAN_CHARS = 1 << 19
@@ -57,9 +60,10 @@ def grams(c: np.ndarray) -> np.ndarray:
 def windows(text: str) -> list[tuple[int, str]]:
     """(place, window) of an item's normalised text."""
     n = len(text)
-    if n <= WINDOW:
-        return [(0, text)] if n >= Q else []
-    return [(i, text[i : i + WINDOW]) for i in [*range(0, n - WINDOW, STRIDE), n - WINDOW]]
+    if n < Q:
+        return []
+    spans = [(i, m) for m, step in ((WINDOW, STRIDE), (SHORT, STEP)) for i in ([*range(0, n - m, step), n - m] if n > m else [0])]
+    return [(i, text[i : i + m]) for i, m in dict.fromkeys((i, min(m, n)) for i, m in spans)]
 
 
 def budget(m: int) -> int:
@@ -194,8 +198,8 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each document that holds a part of a benchmark item: doc_id, item_id, n_windows (of the item's found in the
-    document), first_char (of the first, in the normalised text, within the edit budget), edits (least of any window)."""
+    """A row for each document that holds a part of a benchmark item: doc_id, item_id, n_windows (of the item's, long and short, found in
+    the document), first_char (of the first, in the normalised text, within the edit budget), edits (least of any window)."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, n_windows long, first_char long, edits long"
@@ -212,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 found: dict[tuple[int, int], list] = {}
                 for d, w, at, edits in scan(index, b.column(1)):
                     x = found.setdefault((d, index.item[w]), [set(), at, edits])
-                    x[0].add(index.place[w])
+                    x[0].add(w)
                     x[1], x[2] = min(x[1], at), min(x[2], edits)
                 if found:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in found])), pa.array([i for _, i in found], pa.int64()), *[pa.array([f(x) for x in found.values()], pa.int64()) for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[2])]], ["doc_id", "item_id", "n_windows", "first_char", "edits"])
