@@ -413,3 +413,16 @@ def test_passages_are_found_at_every_offset():
             parts = [f"{'xyz ' * 20}{item[i : i + n]}{' zyx' * 20}" for i in range(size - n + 1)]
             assert {v[0] for v in index.find(parts)} == set(range(len(parts)))
         assert not list(index.find([f"xyz {item[i : i + 40]} zyx" for i in range(size - 40)]))
+
+
+def test_a_large_host_spares_no_passage(spark):
+    """A passage in 15 documents is boilerplate whatever else the host holds; a short line in as many is not."""
+    from tidelog.llm.line_rules import judged
+
+    passage = " ".join(f"passage{k}" for k in range(50))
+    rows = [(i, f"{passage}\nown{i} a{i} b{i} c{i} d{i} e{i}", "h") for i in range(15)] + [(100 + i, f"see you soon\nown{i} p{i} q{i} r{i} s{i} t{i} u{i} v{i}", "h") for i in range(15)]
+    for other in (0, 1500):
+        more = [(1000 + i, " ".join(f"{c}{i}" for c in "abcdefghijkl"), "h") for i in range(other)]
+        got = {r["doc_id"]: (r["n_left_words"], r["kept"]) for r in judged(spark.createDataFrame(rows + more, "doc_id long, text string, source string")).collect()}
+        assert all(got[i] == (6, False) for i in range(15))
+    assert all(got[100 + i] == (11, True) for i in range(15))

@@ -5,7 +5,8 @@ space as one space, trimmed). Per host (the document's source) the distinct docu
 limit is boilerplate; documents of which too little is left without such lines are rejected.
 
 Copies must not make a text boilerplate, so documents of a host with the same set of lines count once; any other two count twice.
-ORACLE still tells documents apart by the least hash among their other lines, and so counts fewer where these are shared too.
+ORACLE still tells documents apart by the least hash among their other lines, and so counts fewer where these are shared too; and
+it asks for SHARE of the host of long lines too, which differs for hosts of more than MIN_DOCS / SHARE documents.
 
 Defined cases: a null text has no words and fails the base rules; null and empty sources are one host; rows of equal id are
 judged each on its own; an empty table gives an empty result; columns other than id, text and source are ignored.
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, save
 
-#: A line is boilerplate in more distinct documents than MIN_DOCS and than SHARE of its host's distinct documents.
+#: A line is boilerplate in more distinct documents than MIN_DOCS and, if short, than SHARE of its host's distinct documents.
 MIN_DOCS, SHARE = 10, 0.02
+#: For a line of so many words MIN_DOCS alone is the limit, so a host's size doesn't spare a passage.
+LONG_WORDS = 10
 #: A document is depleted with fewer words left than LEFT_WORDS or than LEFT_PERCENT of its words.
 LEFT_WORDS, LEFT_PERCENT = 5, 30
 #: Base rules.
@@ -58,11 +61,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """Of rows with host and lines (hash, words): host, h, n_docs of the lines above the limit."""
-    d = docs.where(F.size("lines") > 0).select("host", F.array_sort(F.array_distinct(F.col("lines")["h"])).alias("hs"))
-    own = d.withColumn("sig", F.md5(F.concat_ws(",", "hs").cast("binary"))).groupBy("host", "sig").agg(F.first("hs").alias("hs"))
+    d = docs.where(F.size("lines") > 0).select("host", F.array_sort(F.array_distinct("lines")).alias("own"))
+    own = d.withColumn("sig", F.md5(F.concat_ws(",", F.col("own")["h"]).cast("binary"))).groupBy("host", "sig").agg(F.first("own").alias("own"))
     hosts = own.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counts = own.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    return counts.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * F.lit(share)).select("host", "h", "n_docs")
+    lines = own.select("host", F.explode("own").alias("x")).groupBy("host", F.col("x.h").alias("h"))
+    counts = lines.agg(F.count(F.lit(1)).alias("n_docs"), F.max("x.w").alias("w")).where(F.col("n_docs") > min_docs)
+    return counts.join(hosts, "host").where((F.col("w") >= LONG_WORDS) | (F.col("n_docs") > F.col("host_docs") * F.lit(share))).select("host", "h", "n_docs")
 
 
 def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, **columns) -> DataFrame:
