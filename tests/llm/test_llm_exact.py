@@ -426,3 +426,13 @@ def test_a_large_host_spares_no_passage(spark):
         got = {r["doc_id"]: (r["n_left_words"], r["kept"]) for r in judged(spark.createDataFrame(rows + more, "doc_id long, text string, source string")).collect()}
         assert all(got[i] == (6, False) for i in range(15))
     assert all(got[100 + i] == (11, True) for i in range(15))
+
+
+def test_item_ids_of_any_type(spark):
+    from tidelog.llm.decontaminate import keep_clean, leaks
+
+    text = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    docs = spark.createDataFrame([(1, f"so {text} it is"), (2, "nothing of the kind stands in here")], "doc_id long, text string")
+    items = spark.createDataFrame([("mmlu/7", text)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()] == [(1, "mmlu/7")]
+    assert [r["doc_id"] for r in keep_clean(docs, items).collect()] == [2]

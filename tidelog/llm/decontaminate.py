@@ -98,7 +98,7 @@ def distance(window: str, region: str, most: int) -> int:
 class Index:
     """The q-grams of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]]):
         self.item, self.text, self.place = [], [], []
         for k, text in items:
             for at, w in windows(normal(text)):
@@ -184,10 +184,11 @@ def index_of(sent) -> Index:
     return _LAST[1]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    some: list[tuple[int, str]] = []
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
+    """(id in its own type, text) of the items."""
+    some: list[tuple[object, str]] = []
     size = 0
-    for r in benchmark.select(F.col(item_col).cast("long"), text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator():
+    for r in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator():
         if some and size + len(r[1]) > BLOCK_CHARS:
             yield some
             some, size = [], 0
@@ -200,9 +201,12 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document that holds a part of a benchmark item: doc_id, item_id, n_windows (of the item's, long and short, found in
     the document), first_char (of the first, in the normalised text, within the edit budget), edits (least of any window)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, n_windows long, first_char long, edits long"
+    item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
+    schema = f"doc_id {kind}, item_id {benchmark.schema[item_col].dataType.simpleString()}, n_windows long, first_char long, edits long"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = []
     for some in item_blocks(benchmark, item_col, item_text_col):
@@ -213,13 +217,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
             index = index_of(sent)
             for b in batches:
-                found: dict[tuple[int, int], list] = {}
+                found: dict[tuple[int, object], list] = {}
                 for d, w, at, edits in scan(index, b.column(1)):
                     x = found.setdefault((d, index.item[w]), [set(), at, edits])
                     x[0].add(w)
                     x[1], x[2] = min(x[1], at), min(x[2], edits)
                 if found:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in found])), pa.array([i for _, i in found], pa.int64()), *[pa.array([f(x) for x in found.values()], pa.int64()) for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[2])]], ["doc_id", "item_id", "n_windows", "first_char", "edits"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in found])), pa.array([i for _, i in found], item_kind), *[pa.array([f(x) for x in found.values()], pa.int64()) for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[2])]], ["doc_id", "item_id", "n_windows", "first_char", "edits"])
 
         parts.append(rows.mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
