@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -14,10 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; where that is unset, one of our own."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Where that is unset, one of our own, but only in
+    a local session, whose executors are the driver: on a cluster each machine would write to its own disk."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -49,6 +53,21 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.sc().hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def temporary():
+    """Gives ``save``; what it has saved is deleted at the end, so no result may read it by then."""
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        made.append(save(df, name))
+        return made[-1]
+
+    try:
+        yield put
+    finally:
+        discard(*made)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's code to the executors, once a session, so that it need not be installed there."""
     sc = spark.sparkContext

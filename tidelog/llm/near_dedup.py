@@ -9,7 +9,10 @@
    for each two components leaves the task. The leader's component, as a rule nearly the whole bucket, is dealt to blocks once; the
    few others meet each of its blocks and one another, so a large group of near copies costs in proportion to its size.
 
-No bucket is ever gathered whole, no pairs inside a component are looked at, and every link counts only after the full sets confirm it.
+No pairs inside a component are looked at, and every link counts only after the full sets confirm it. Joins by bucket, leader and
+hub have stored tables on both sides, so that adaptive execution splits the key of a large family of near copies among many tasks.
+
+A row is known by its key, a digest of its id and its text, so rows of equal id and other texts never stand for one another.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; a row without id takes no part and is kept, with
 a null component; rows of equal id are judged each by its own text; an empty table gives an empty result; other columns are ignored.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .bytetext import U, blocks, buffers, mix, shingle_sets
-from .common import discard, save, ship
+from .common import discard, save, ship, temporary
 
 #: Candidates are given up without a look at the full sets if a similarity below the limit is e**CUT times as likely as any above.
 CUT = 10.0
@@ -67,8 +70,14 @@ def _binary(raw: np.ndarray, width: int, empty=None):
     return pc.if_else(pa.array(empty), pa.scalar(None, pa.binary()), a)
 
 
+def row_key(doc_id, text):
+    """16 bytes that tell rows of other ids or other texts apart."""
+    digest = lambda c: F.md5(c.cast("string").cast("binary"))
+    return F.unhex(F.md5(F.concat(F.coalesce(digest(doc_id), F.lit("-")), F.coalesce(digest(text), F.lit("-"))).cast("binary")))
+
+
 def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: doc_id, n_shingles, cid and sketch (null without shingles or id)."""
+    """Per document: doc_id, k (its row key), n_shingles, cid and sketch (null without shingles or id)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -81,9 +90,11 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 n = np.array([len(s) for s in sets], np.int64)
                 gone = (n == 0) | b.column(0).slice(i, j - i).is_null().to_numpy(zero_copy_only=False)
                 regs = setsketch.registers(sets)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), _binary(class_ids(sets), 16, gone), _binary(regs, 2 * setsketch.M, gone)], ["doc_id", "n_shingles", "cid", "sketch"])
+                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n)]
+                yield pa.RecordBatch.from_arrays([*cols, _binary(class_ids(sets), 16, gone), _binary(regs, 2 * setsketch.M, gone)], ["doc_id", "k", "n_shingles", "cid", "sketch"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cid binary, sketch binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("k"))
+    return rows.mapInArrow(run, f"doc_id {kind}, k binary, n_shingles long, cid binary, sketch binary")
 
 
 def _regs(column) -> np.ndarray:
@@ -91,16 +102,16 @@ def _regs(column) -> np.ndarray:
     return data.view(np.uint16).reshape(-1, setsketch.M)
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """key, node: one row for each class and band."""
+def banded(classes: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """key, node: one row for each class and band; shape: bands, registers of each."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                keys = setsketch.band_keys(_regs(b.column(1)))
-                node = np.repeat(b.column(0).to_numpy(), setsketch.BANDS)
+                keys = setsketch.band_keys(_regs(b.column(1)), shape)
+                node = np.repeat(b.column(0).to_numpy(), shape[0])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(node)], ["key", "node"])
 
     return classes.select("node", "sketch").mapInArrow(run, "key long, node long")
@@ -125,32 +136,23 @@ def likely(pairs: DataFrame, classes: DataFrame, at: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def with_text(nodes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """node, text for classes (node, doc, cid); a row of equal id and other text is left out, and so are most of the rows that
-    repeat a document, which come one after another. Every distinct text of a batch is held against the class id, once."""
+def with_text(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, text for classes (node, k). Of the rows that repeat a document, which come one after another, one is taken; where a task
+    holds only part of them, one of each task, which makes work but no difference."""
 
     def run(batches):
         import pyarrow as pa
 
         last = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            texts = b.column(2).dictionary_encode()
-            data, offs = buffers(texts.dictionary)
-            got = [class_ids(shingle_sets(d, o, width)) for _, _, d, o in blocks(data, offs)]
-            have = np.concatenate(got).tobytes() if got else b""
-            node = b.column(0).to_numpy()
-            right = [i for i, (k, cid) in enumerate(zip(texts.indices.to_pylist(), b.column(1).to_pylist(), strict=True)) if k is not None and have[16 * k : 16 * k + 16] == cid]
-            nodes_ = node[right]
-            if len(nodes_):
-                first = np.concatenate(([nodes_[0] != last], nodes_[1:] != nodes_[:-1]))
-                last = nodes_[-1]
-                some = pa.array(np.array(right, np.int64)[first])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(2).take(some)], ["node", "text"])
-
-    d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return nodes.select("node", "doc", "cid").join(d, "doc").select("node", "cid", "text").mapInArrow(run, "node long, text string")
+            if b.num_rows:
+                node = b.column(0).to_numpy()
+                first = np.concatenate(([node[0] != last], node[1:] != node[:-1]))
+                last = node[-1]
+                yield b.filter(pa.array(first))
+
+    d = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
+    return nodes.select("node", "k").join(d, "k").select("node", "text").mapInArrow(run, "node long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -182,17 +184,19 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label for the nodes of ``edges`` (a, b), by alternating large and small stars; the label is the component's least node."""
+def components(edges: DataFrame, put) -> DataFrame:
+    """node, label for the nodes of ``edges`` (a, b), by alternating large and small stars; the label is the component's least node.
+    The neighbours' minima are stored before they are joined, so that the edges of a hub can be dealt to many tasks. put: ``save``, of
+    tables that outlive the result."""
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edge-least")
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = save(large.groupBy("u").agg(F.min("v").alias("m")), "edge-least")
         small = large.join(least, "u")
-        new = save(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
-        discard(e)
+        new = put(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        discard(e, near, least)
         e = new
         roles = e.select(F.col("u").alias("n"), F.lit(1).alias("c"), F.lit(0).alias("p")).union(e.select("v", F.lit(0), F.lit(1)))
         if roles.groupBy("n").agg(F.sum("c").alias("c"), F.max("p").alias("p")).where("c > 1 or c = 1 and p = 1").isEmpty():
@@ -212,8 +216,9 @@ class Block:
     def __init__(self, key: int, node, label, mine, n, text, regs, width: int, percent: int):
         self.node, self.label, self.mine, self.n, self.text, self.regs = node, label, mine, n, text, regs
         self.width, self.percent, self.at = width, percent, percent / 100
-        band = int((setsketch.band_keys(regs[:1])[0] == key).argmax())
-        self.before = regs[:, : band * setsketch.ROWS].reshape(len(regs), band, setsketch.ROWS)
+        shape = setsketch.bands_for(percent)
+        band = int((setsketch.band_keys(regs[:1], shape)[0] == key).argmax())
+        self.before = regs[:, : band * shape[1]].reshape(len(regs), band, shape[1])
         self.sets: dict[int, np.ndarray] = {}
         self.root: dict[int, int] = {}
 
@@ -309,50 +314,59 @@ def across(members: DataFrame, width: int, percent: int) -> DataFrame:
     return spread.select(*order, "node", "label", "mine", "n", "text", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id reachable over links of at least ``percent``), kept."""
-    spark, at = docs.sparkSession, percent / 100
+def grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketched documents, and of each class (cid) its component's least doc_id (component_id) and the row key of the document that
+    stands for the component (keep)."""
+    spark, at, shape = docs.sparkSession, percent / 100, setsketch.bands_for(percent)
     ship(spark)
     base = save(sketched(docs, width, id_col, text_col), "near-base")
-    classes = base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    bands = banded(classes)
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = save(bands.join(buckets, "key"), "near-members")
-    few = ["node", "doc", "cid"]
-    texts = save(with_text(classes.join(members.select("node").distinct(), "node", "left_semi").select(*few), docs, width, id_col, text_col), "near-texts")
-    pairs = likely(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, at)
-    with arrow_rows(spark, 1000):
-        links = save(verified(pairs, texts, width, percent), "near-links")
-    labels = components(links)
-    # every other pair of a bucket is one without its leader: it matters if their components still differ
-    known = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sized = known.join(classes.select("node", "n", "sketch"), "node")
-    each = sized.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("node").alias("m"))
-    mixed = each.groupBy("key").agg(F.min_by(F.struct("label", "c", "s"), "m").alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    parts = lambda c, s: F.ceil(F.greatest(c / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
-    mixed = mixed.select("key", F.col("x.label").alias("base"), parts(F.col("x.c"), F.col("x.s")).alias("settled"), parts(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("open"))
-    with arrow_rows(spark, 1000):
-        more = save(across(sized.join(mixed, "key").join(texts, "node"), width, percent), "near-links")
-    if not more.isEmpty():
-        named = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        ends = more.join(named[0], "a", "left").join(named[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        moved = components(ends).select(F.col("node").alias("old"), F.col("label").alias("to"))
-    else:
-        moved = spark.createDataFrame([], "old long, to long")
-    known = classes.select("node", "cid", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = known.join(moved, known["label"] == moved["old"], "left").withColumn("label", F.coalesce("to", "label")).drop("old", "to")
-    roots = known.groupBy("label").agg(F.min("doc").alias("component_id"))
-    final = save(known.join(roots, "label").select("cid", "component_id"), "near-components")
-    discard(texts, members, classes, links, more)
+    classes = base.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "k")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = classes.select("cid", F.col("rep.doc_id").alias("doc"), F.col("rep.k").alias("k"), "n", "sketch")
+    with temporary() as put:
+        classes = put(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+        bands = banded(classes, shape)
+        buckets = put(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1"), "near-buckets")
+        members = put(bands.join(buckets, "key"), "near-members")
+        texts = put(with_text(classes.join(members.select("node").distinct(), "node", "left_semi"), docs, id_col, text_col), "near-texts")
+        pairs = likely(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, at)
+        with arrow_rows(spark, 1000):
+            links = put(verified(pairs, texts, width, percent), "near-links")
+        labels = components(links, put)
+        # every other pair of a bucket is one without its leader: it matters if their components still differ
+        known = members.where("size > 2").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = put(known.join(classes.select("node", "n"), "node"), "near-known")
+        each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("node").alias("m"))
+        mixed = each.groupBy("key").agg(F.min_by(F.struct("label", "c", "s"), "m").alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("labels"))
+        parts = lambda c, s: F.ceil(F.greatest(c / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
+        settled, open_ = parts(F.col("x.c"), F.col("x.s")), parts(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s"))
+        mixed = put(mixed.where("labels > 1").select("key", F.col("x.label").alias("base"), settled.alias("settled"), open_.alias("open")), "near-mixed")
+        open_members = known.join(mixed, "key").join(classes.select("node", "sketch"), "node").join(texts, "node")
+        with arrow_rows(spark, 1000):
+            more = put(across(open_members, width, percent), "near-links")
+        whole = classes.select("node", "cid", "doc", "k").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if not more.isEmpty():
+            named = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+            ends = more.join(named[0], "a", "left").join(named[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            moved = components(ends, put).select(F.col("node").alias("old"), F.col("label").alias("to"))
+            whole = whole.join(moved, whole["label"] == moved["old"], "left").withColumn("label", F.coalesce("to", "label")).drop("old", "to")
+        roots = whole.groupBy("label").agg(F.min(F.struct("doc", "k")).alias("root"))
+        final = save(whole.join(roots, "label").select("cid", F.col("root.doc").alias("component_id"), F.col("root.k").alias("keep")), "near-components")
+    return base, final
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id reachable over links of at least ``percent``), kept."""
+    base, final = grouped(docs, width, percent, id_col, text_col)
     out = base.select("doc_id", "n_shingles", "cid").join(final, "cid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one document of each group: the rows of the least id."""
-    gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: that of the least id, and of its texts in the group one. Rows that repeat it stay with it;
+    a row of the same id whose text belongs to another group is judged there; rows without id stay."""
+    base, final = grouped(docs, width, percent, id_col, text_col)
+    gone = base.join(final, "cid").where("k != keep").select(F.col("k").alias("_gone")).distinct()
+    return docs.join(gone, row_key(docs[id_col], docs[text_col]) == gone["_gone"], "left_anti")
 
 
 #: The op1 contract with exact set arithmetic.

@@ -15,8 +15,9 @@ from .bytetext import U, mix
 
 M = 256
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Bands of registers: two sets that agree in one whole band are compared. With similarity 0.8 all are missed with probability 5e-8.
-BANDS, ROWS = 32, 4
+#: By least similarity in percent: bands and registers of each. Two sets that agree in one whole band are compared; at the least similarity
+#: all bands are missed with probability 5e-8 at 80, 2e-4 at 70 and 50, 3e-4 at 25.
+BANDS = ((70, (32, 4)), (50, (64, 3)), (25, (128, 2)))
 _GRID = np.linspace(0.0, 1.0, 101)
 
 
@@ -49,12 +50,21 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """BANDS keys for each row."""
-    r = regs[:, : BANDS * ROWS].astype(U).reshape(len(regs), BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=U)[None, :] * U(0x9E3779B97F4A7C15)
+def bands_for(percent: float) -> tuple[int, int]:
+    """Bands and registers of each that find pairs of at least this similarity."""
+    for least, shape in BANDS:
+        if percent >= least:
+            return shape
+    raise ValueError(f"no banding finds pairs of {percent} percent; at least {BANDS[-1][0]} can be asked for")
+
+
+def band_keys(regs: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """A key of each band for each row."""
+    bands, rows = shape
+    r = regs[:, : bands * rows].astype(U).reshape(len(regs), bands, rows)
+    key = np.arange(1, bands + 1, dtype=U)[None, :] * U(0x9E3779B97F4A7C15)
     key = np.repeat(key, len(regs), 0)
-    for k in range(ROWS):
+    for k in range(rows):
         key = mix(key * U(0xD6E8FEB86659FD93) + r[:, :, k] + U(1))
     return key.view(np.int64)
 
