@@ -173,7 +173,7 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -215,7 +215,8 @@ class WordCoder:
         kinds = [x.get("type") for x in normal.get("normalizers", [])]
         split = (pre.get("pretokenizers") or [{}])[0]
         known = split.get("pattern") == {"Regex": PIECES} and split.get("behavior") == "Removed" and split.get("invert") is True
-        return kinds == ["NFC", "Replace", "Lowercase"] and known and [x.get("use_regex") for x in pre["pretokenizers"][1:]] == [False] and d.get("post_processor") is None and d["model"].get("dropout") is None
+        raw = not any(t.get("normalized") for t in d.get("added_tokens", []))
+        return kinds == ["NFC", "Replace", "Lowercase"] and known and raw and [x.get("use_regex") for x in pre["pretokenizers"][1:]] == [False] and d.get("post_processor") is None and d["model"].get("dropout") is None
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lens = [], np.zeros(len(words), np.int64)
@@ -235,39 +236,53 @@ class WordCoder:
         return starts, lens
 
     def encode(self, column, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first text, end, ids, ids a text) of runs of texts, each text with ``end_id`` at its end."""
+        """(first text, end, ids, ids a text) of runs of texts, each text with ``end_id`` at its end. Texts that hold an added token, in
+        any case, are encoded whole: the library looks for these by rules of its own, and pieces are remembered without regard to case."""
         data, offs = buffers(column)
         for i, j, d, o in blocks(data, offs):
             raw = d.tobytes()
-            starts, ends, first = word_bounds(d, o)
-            if not any(t in raw for t in self.added):
-                letter, symbol = _LETTER[d], _SYMBOL[d]
-                cuts = np.flatnonzero(letter[:-1] & symbol[1:] | symbol[:-1] & letter[1:]) + 1
-                cuts = np.setdiff1d(cuts, o, assume_unique=True)
-                starts, ends = np.sort(np.concatenate([starts, cuts]), kind="stable"), np.sort(np.concatenate([ends, cuts]), kind="stable")
-                first = np.searchsorted(starts, o, "left")
-            hashes, some, back = np.unique(word_hashes(d, starts, ends, True), return_index=True, return_inverse=True)
-            if len(self.hashes) + len(self.new) > MEMO_WORDS:
-                self._forget()
-            at, many = self._places(hashes)
-            new = np.flatnonzero(at < 0)
-            if len(new):
-                at[new], many[new] = self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)])
-                if len(self.new) > 50_000:
-                    self._settle()
-            at, many = at[back], many[back]
-            # every text's end is one more word, that of the end id
-            n, texts = len(at), j - i
-            lens, where = np.empty(n + texts, np.int64), np.empty(n + texts, np.int64)
-            tail = first[1:] + np.arange(texts)
-            body = np.ones(n + texts, bool)
-            body[tail] = False
-            lens[body], where[body] = many, at
-            self.pool[self.used] = end_id
-            lens[tail], where[tail] = 1, self.used
-            upto = np.cumsum(lens)
-            ids = self.pool[np.repeat(where - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
-            yield i, j, ids, np.diff(np.concatenate([[0], upto[tail]]))
+            folded = raw.lower()
+            if not any(t in folded for t in self.added):
+                yield i, j, *self._pieces(raw, d, o, end_id)
+                continue
+            for k in range(j - i):
+                a, b = int(o[k]), int(o[k + 1])
+                if any(t in folded[a:b] for t in self.added):
+                    found = self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids
+                    yield i + k, i + k + 1, np.array([*found, end_id], np.uint32), np.array([len(found) + 1])
+                else:
+                    yield i + k, i + k + 1, *self._pieces(raw[a:b], d[a:b], np.array([0, b - a]), end_id)
+
+    def _pieces(self, raw: bytes, d: np.ndarray, o: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without added tokens, and how many each text has."""
+        starts, ends, first = word_bounds(d, o)
+        letter, symbol = _LETTER[d], _SYMBOL[d]
+        cuts = np.flatnonzero(letter[:-1] & symbol[1:] | symbol[:-1] & letter[1:]) + 1
+        cuts = np.setdiff1d(cuts, o, assume_unique=True)
+        starts, ends = np.sort(np.concatenate([starts, cuts]), kind="stable"), np.sort(np.concatenate([ends, cuts]), kind="stable")
+        first = np.searchsorted(starts, o, "left")
+        hashes, some, back = np.unique(word_hashes(d, starts, ends, True), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(self.new) > MEMO_WORDS:
+            self._forget()
+        at, many = self._places(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new], many[new] = self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)])
+            if len(self.new) > 50_000:
+                self._settle()
+        at, many = at[back], many[back]
+        # every text's end is one more word, that of the end id
+        n, texts = len(at), len(o) - 1
+        lens, where = np.empty(n + texts, np.int64), np.empty(n + texts, np.int64)
+        tail = first[1:] + np.arange(texts)
+        body = np.ones(n + texts, bool)
+        body[tail] = False
+        lens[body], where[body] = many, at
+        self.pool[self.used] = end_id
+        lens[tail], where[tail] = 1, self.used
+        upto = np.cumsum(lens)
+        ids = self.pool[np.repeat(where - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(np.concatenate([[0], upto[tail]]))
 
 
 class TextCoder:
