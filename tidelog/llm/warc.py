@@ -6,7 +6,8 @@ source by its record id and keep its target, date, and digests; their own ids fo
 
 Defined cases: responses that are no HTTP message, or whose status isn't 2xx, get a metadata record only; so do those whose type is
 neither HTML nor plain text. Records of other kinds, and what is no record, yield nothing. A null page is a response with an empty body.
-Unknown character sets are read as UTF-8, what can't be decoded as U+FFFD. Repeated rows yield repeated records.
+Unknown character sets are read as UTF-8, what can't be decoded as U+FFFD. Control characters in header values, line breaks among them,
+are percent-encoded, and blanks at their ends too, so that any url gives a record that is read back as it was written. Repeated rows yield repeated records.
 """
 
 from __future__ import annotations
@@ -39,8 +40,13 @@ def get(headers: Headers, name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def safe(value: str) -> str:
+    """A header value on one line."""
+    return re.sub(r"[\x00-\x1f\x7f]|^\s|\s$", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), value)
+
+
 def record(headers: Headers, block: bytes) -> bytes:
-    lines = [VERSION, *(f"{k}: {v}" for k, v in headers if k.lower() != "content-length"), f"Content-Length: {len(block)}"]
+    lines = [VERSION, *(f"{k}: {safe(v)}" for k, v in headers if k.lower() != "content-length"), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -106,7 +112,11 @@ def payload(http: Headers, body: bytes) -> bytes:
 
 
 def decoded(http: Headers, body: bytes) -> str:
-    m = re.search(r"charset=[\"']?([\w.:-]+)", get(http, "Content-Type") or "", re.I) or re.search(r"<meta[^>]+charset=[\"']?([\w.:-]+)", body[:2048].decode("latin-1"), re.I)
+    """The body as text, by the character set of the HTTP header or of a meta element in the whole head."""
+    m = re.search(r"charset=[\"']?([\w.:-]+)", get(http, "Content-Type") or "", re.I)
+    if not m:
+        end = re.search(rb"</head|<body", body, re.I)
+        m = re.search(r"<meta[^>]+charset=[\"']?([\w.:-]+)", body[: end.start() if end else len(body)].decode("latin-1"), re.I)
     try:
         return body.decode(m[1] if m else "utf-8", "replace")
     except LookupError:
