@@ -8,23 +8,25 @@ document less place in the window) that differ by at most e. So shared q-grams a
 band starting every e + 1; bands that reach the bound name a region of the document, and a banded alignment of the window with
 that region decides. The documents are scanned once, without a shuffle, by numpy over code points.
 
-The benchmark is a query set: it is sent to the executors in blocks of at most BLOCK_CHARS characters, one scan for each block.
+The benchmark is a query set: it is sent to the executors in blocks of at most BLOCK_CHARS characters, one scan for each block. With several
+blocks each one's result is stored before the next is sent, so that one index at a time takes memory.
 
-Defined cases: a null or empty text matches nothing; items of fewer than Q characters, or null, are not looked for, as they say
-too little; repeated documents and items are reported each; empty tables give an empty result; other columns are ignored.
+Defined cases: a null or empty text matches nothing; items of fewer than Q characters say too little to be looked for within texts, and
+match documents that are equal to them as a whole; null and empty items match nothing; repeated documents and items are reported each; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U, _powers, mix
-from .common import ship
+from .common import discard, save, ship
 
 Q, WINDOW, STRIDE, RATE = 12, 120, 60, 0.05
 #: Of the short windows, for passages that hold no long one: 74 characters, some 12 words.
@@ -100,8 +102,13 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]]):
         self.item, self.text, self.place = [], [], []
+        #: Windows that are items of fewer than Q characters, by their text.
+        self.whole: dict[str, list[int]] = {}
         for k, text in items:
-            for at, w in windows(normal(text)):
+            text = normal(text)
+            if 0 < len(text) < Q:
+                self.whole.setdefault(text, []).append(len(self.item))
+            for at, w in windows(text) if len(text) >= Q else [(0, text)] if text else []:
                 self.item.append(k)
                 self.text.append(w)
                 self.place.append(at)
@@ -121,6 +128,10 @@ class Index:
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(number of the text, window, place in the text, edits) of all verified regions of normalised texts."""
+        if self.whole:
+            for d, text in enumerate(texts):
+                for w in self.whole.get(text, ()):
+                    yield d, w, 0, 0
         if not len(self.grams):
             return
         joined = "\n".join(texts)
@@ -198,6 +209,22 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
         yield some
 
 
+def one_by_one(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, search: Callable[[object], DataFrame]) -> Iterator[DataFrame]:
+    """``search`` of each broadcast block of items; where there are several, its result is stored and the block let go."""
+    blocks = item_blocks(benchmark, item_col, text_col)
+    first, second = next(blocks, None), next(blocks, None)
+    send = docs.sparkSession.sparkContext.broadcast
+    if second is None:
+        if first is not None:
+            yield search(send(first))
+        return
+    for some in chain((first, second), blocks):
+        sent = send(some)
+        found = save(search(sent), "leaks")
+        sent.destroy()
+        yield found
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document that holds a part of a benchmark item: doc_id, item_id, n_windows (of the item's, long and short, found in
     the document), first_char (of the first, in the normalised text, within the edit budget), edits (least of any window)."""
@@ -208,11 +235,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"doc_id {kind}, item_id {benchmark.schema[item_col].dataType.simpleString()}, n_windows long, first_char long, edits long"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = []
-    for some in item_blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(some)
 
-        def run(batches, sent=sent):
+    def search(sent) -> DataFrame:
+        def run(batches):
             import pyarrow as pa
 
             index = index_of(sent)
@@ -225,18 +250,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 if found:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in found])), pa.array([i for _, i in found], item_kind), *[pa.array([f(x) for x in found.values()], pa.int64()) for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[2])]], ["doc_id", "item_id", "n_windows", "first_char", "edits"])
 
-        parts.append(rows.mapInArrow(run, schema))
+        return rows.mapInArrow(run, schema)
+
+    parts = list(one_by_one(docs, benchmark, item_col, item_text_col, search))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no part of a benchmark item."""
     ship(docs.sparkSession)
-    place = docs.columns.index(text_col)
-    for some in item_blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(some)
+    place, schema = docs.columns.index(text_col), docs.schema
+    left = docs
 
-        def run(batches, sent=sent):
+    def search(sent) -> DataFrame:
+        def run(batches):
             import pyarrow as pa
 
             index = index_of(sent)
@@ -246,5 +273,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     keep[d] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return left.mapInArrow(run, schema)
+
+    for kept in one_by_one(docs, benchmark, item_col, item_text_col, search):
+        if left is not docs:
+            discard(left)
+        left = kept
+    return left
