@@ -101,7 +101,8 @@ def mix_digest(docs: DataFrame, seed: str = "mix", **columns) -> DataFrame:
 def mix_rows(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it; of the document in which a source's budget ends,
     one more row holds its first words up to the budget. Columns are those of ``docs``."""
-    _, cuts = plan(docs, id_col, text_col, source_col, seed=seed, **how)
+    sized, cuts = plan(docs, id_col, text_col, source_col, seed=seed, **how)
+    discard(sized)
     rows = with_cuts(docs, F.col(source_col), cuts)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = rows.withColumn("_mix_size", size).withColumn("_mix_extra", extra(F.col(id_col), F.col("_mix_size"), seed))

@@ -4,11 +4,11 @@ Every whole text gets a vector of statistics, transformed so that they lie near
 a covariance shrunk towards the pooled covariance and its diagonal; its Cholesky factor is computed once. A score is the logistic of the
 difference of the two log-densities (Mahalanobis distances by triangular solves, log-determinants, priors), scaled on the training rows.
 
-The classifier is fitted on at most MAX_TRAINING labelled rows, those first in order of the md5 of their id; statistics and scores cover
-every document. Label, language, source and id are never inputs.
+The classifier is fitted on at most MAX_TRAINING labelled documents, those first in order of the md5 of their id; of these only about as
+many as are taken come to the driver. Statistics and scores cover every document. Label, language, source and id are never inputs.
 
 Defined cases: null and empty texts get the statistics of an empty text; labels that are null, or of documents that are not there, are
-left out, and of several labels for one id the greatest counts; without training rows of both classes every score is 0.5; rows of
+left out, of several labels for one id the greatest counts, and of several rows of one id the one with the least statistics is fitted on; without training rows of both classes every score is 0.5; rows of
 equal id are scored each; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, buffers, word_bounds, word_hashes
-from .common import save, ship
+from .common import save, ship, temporary
 
 MAX_TRAINING = 20_000
 _CLASS = np.full(256, 7, np.int64)
@@ -127,6 +127,16 @@ def held_out(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
+def first_of(pool: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows by o, a hash in hex digits. By the number of rows a bound is set that some more rows than these lie below, so that
+    each task sends few rows to the driver, however many there are."""
+    n = pool.count()
+    wanted = most + 6 * most**0.5
+    if n > wanted:
+        pool = pool.where(F.substring("o", 1, 12) < f"{int(wanted / n * 16**12):012x}")
+    return pool.orderBy("o", "doc_id").limit(most)
+
+
 def classified(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted. Labels of held-out rows are never read."""
     spark = docs.sparkSession
@@ -144,8 +154,10 @@ def classified(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder:
 
     own = save(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(measure, f"doc_id {kind}, x array<float>"), "quality")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    rows = known.join(own, "doc_id").orderBy("o", "doc_id", "x").limit(MAX_TRAINING).select("x", "y").collect()
+    known = known.join(own, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))
+    with temporary() as put:
+        pool = put(known.withColumn("o", F.md5(F.col("doc_id").cast("string").cast("binary"))), "quality-labelled")
+        rows = first_of(pool, MAX_TRAINING).select("x", "y").collect()
     y = np.array([r["y"] for r in rows])
     model = Discriminant().fit(np.array([r["x"] for r in rows], float), (y > 0).astype(int)) if min((y > 0).sum(), (y <= 0).sum()) > 0 else None
 
