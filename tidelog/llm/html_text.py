@@ -4,9 +4,10 @@ Every block element gets features of its subtree (text, density of tags, links a
 of its ancestors, its depth and place, and its siblings. Boosted trees give each element's log-odds of holding main text. Decoding
 finds, in one pass over the tree, the likeliest choice in which nothing below a dropped element is kept.
 
-The trees are trained here, on pages that ``sample_page`` makes with known parts: menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments around and inside articles of many shapes. Training is deterministic and needs no corpus, so results do not depend on
-the table's size.
+The trees are trained here, on pages with known parts: ``sample_page`` makes menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments around and inside articles of many shapes, by telling names; ``plain_page`` makes pages whose names tell nothing, down
+to bare bodies, tables and nested boxes, so that structure alone must do. Training is deterministic and needs no corpus, so results do
+not depend on the table's size.
 
 Defined cases: null or empty HTML gives an empty text; a page without main text too; broken markup is read as far as it goes;
 repeated rows are extracted each; columns other than id, URL and HTML are ignored.
@@ -146,16 +147,20 @@ def decode(parent: list[int], odds: np.ndarray) -> list[bool]:
 # --- training pages -------------------------------------------------------------------------------------------------------
 
 
+def invented(r: random.Random, n: int, main: bool) -> str:
+    """Words; those of main text begin with ``Q``, others not."""
+    out = []
+    for _ in range(n):
+        w = "".join(r.choice("aeiourstnlmdchbgp") for _ in range(r.randint(1, 9)))
+        out.append(("Q" if main else "z") + w + r.choice(["", "", "", "", ",", ".", "***", " &amp;"]))
+    return " ".join(out)
+
+
 def sample_page(r: random.Random) -> str:
-    """HTML of an invented page, whose main text stands between markers: words that begin with ``Q`` are main text, others not."""
-    letters = "aeiourstnlmdchbgp"
+    """HTML of an invented page with names that tell what its parts are for."""
 
     def words(n: int, main: bool) -> str:
-        out = []
-        for _ in range(n):
-            w = "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
-            out.append(("Q" if main else "z") + w + r.choice(["", "", "", "", ",", ".", "***", " &amp;"]))
-        return " ".join(out)
+        return invented(r, n, main)
 
     def count() -> int:
         return max(1, int(math.exp(r.uniform(0, 5.3))))
@@ -248,14 +253,82 @@ def sample_page(r: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(3, False)}</title><style>p{{}}</style></head><body>{''.join(head)}{middle}{''.join(tail)}</body></html>"
 
 
-TRAINING_PAGES = 700
+def plain_page(r: random.Random) -> str:
+    """HTML of an invented page whose names tell nothing: what is no main text is a menu of links, a short footer, a form, or has its own tag."""
+    words = functools.partial(invented, r)
+
+    def cls() -> str:
+        name = "".join(r.choice("bdfgkqvxyz0123456789") for _ in range(r.randint(1, 5)))
+        return r.choice(["", "", f' class="{name}"', f' id="{name}"', f' class="{name} c{r.randint(1, 30)}"'])
+
+    def links(n: int) -> str:
+        items = [f'<a href="/{k}">{words(r.randint(1, 3), False)}</a>' for k in range(n)]
+        how = r.randrange(5)
+        if how == 0:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+        if how == 1:
+            return "".join(f"<{t}>{x}</{t}>" for t in [r.choice(["div", "p"])] for x in items)
+        return r.choice([" ", " | ", "<br>", " &middot; "]).join(items)
+
+    def menu() -> str:
+        tag = r.choice(["div", "div", "div", "nav", "ul", "p", "header"])
+        if tag == "ul":
+            return f"<ul{cls()}>" + "".join(f'<li><a href="#">{words(r.randint(1, 3), False)}</a></li>' for _ in range(r.randint(2, 9))) + "</ul>"
+        return f"<{tag}{cls()}>{links(r.randint(2, 10))}</{tag}>"
+
+    def footer() -> str:
+        tag = r.choice(["div", "div", "p", "footer", "footer"])
+        note = f"{r.choice(['&copy; ', '&#169; ', '© ', '(c) 2021 '])}{words(r.randint(1, 6), False)}"
+        return f"<{tag}{cls()}>" + r.choice([note, f"{note} {links(r.randint(1, 4))}", links(r.randint(2, 6))]) + f"</{tag}>"
+
+    def form() -> str:
+        return f'<form{cls()}><input name="q"><label>{words(r.randint(1, 4), False)}</label><button>{words(1, False)}</button></form>'
+
+    def aside() -> str:
+        return f"<aside{cls()}><p>{words(r.randint(2, 50), False)}</p></aside>"
+
+    def sentence_block() -> str:
+        n = max(4, int(math.exp(r.uniform(1.5, 5.3))))
+        body = words(n, True)
+        if r.random() < 0.12:
+            body += f' <a href="/x">{words(r.randint(1, 3), True)}</a> {words(r.randint(1, 9), True)}'
+        tag = r.choice(["p", "p", "p", "p", "div", "blockquote", "pre", "li"])
+        one = f"<{tag}{cls() if r.random() < 0.3 else ''}>{body}</{tag}>" if tag != "li" else "<ul>" + "".join(f"<li>{words(r.randint(2, 20), True)}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
+        return one * (2 if r.random() < 0.1 else 1)
+
+    parts = [sentence_block() for _ in range(max(1, int(math.exp(r.uniform(0, 2.8)))))]
+    for k in range(len(parts)):
+        if r.random() < 0.12:
+            parts[k] = f"<h{r.randint(2, 4)}>{words(r.randint(1, 7), True)}</h{r.randint(2, 4)}>" + parts[k]
+    if r.random() < 0.1:
+        parts.insert(r.randint(0, len(parts)), "<table>" + "".join(f"<tr><td>{words(r.randint(1, 6), True)}</td><td>{words(r.randint(1, 6), True)}</td></tr>" for _ in range(r.randint(2, 6))) + "</table>")
+    title = f"<h1>{words(r.randint(1, 9), True)}</h1>" if r.random() < 0.6 else ""
+    if r.random() < 0.12:  # running text without any block of its own
+        parts = ["<br><br>".join(words(r.randint(15, 80), True) for _ in range(r.randint(1, 5)))]
+    article = title + "".join(parts)
+    for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+        tag = r.choice(["div", "div", "div", "section", "main", "article", "center"])
+        article = f"<{tag}{cls()}>{article}</{tag}>"
+    head = [f() for f, chance in ((menu, 0.6), (form, 0.1)) if r.random() < chance]
+    tail = [f() for f, chance in ((aside, 0.1), (menu, 0.1), (footer, 0.6)) if r.random() < chance]
+    if r.random() < 0.2:
+        cells = "".join(f"<td>{x}</td>" for x in [*([menu()] if r.random() < 0.7 else []), article])
+        article = f"<table{cls()}><tr>{cells}</tr></table>"
+    body = "".join([*head, article, *tail])
+    for _ in range(r.choice([0, 0, 1, 2])):
+        body = f"<div{cls()}>{body}</div>"
+    return r.choice([f"<html><head><title>{words(3, False)}</title></head><body>{body}</body></html>", f"<body>{body}</body>", body])
+
+
+#: Of ``sample_page`` and of ``plain_page``.
+TRAINING_PAGES = (700, 700)
 
 
 @functools.lru_cache(maxsize=2)
-def model(seed: int = 7, pages: int = TRAINING_PAGES) -> Boosted:
+def model(seed: int = 7, pages: tuple[int, int] = TRAINING_PAGES) -> Boosted:
     """An element is to be kept if main text is at or below it."""
     r = random.Random(seed)
-    parsed = [Page(sample_page(r)) for _ in range(pages)]
+    parsed = [Page(make(r)) for make, n in zip((sample_page, plain_page), pages, strict=True) for _ in range(n)]
     y: list[float] = []
     w: list[float] = []
     for p in parsed:
