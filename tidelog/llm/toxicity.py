@@ -1,32 +1,34 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A text is a sequence of words (runs of letters, lower-cased). A word's input joins a character part (statistics and learned
-vectors of its hashed character n-grams, with marks for its begin and end) and a word part (statistic and learned vector of the
-hashed word). The statistics say how much more often training documents with the label hold the n-gram or word than others, less
-one standard error; in training each half's statistics come from the other half. All overlapping windows of a text are
-read in both directions by gated recurrent units, pooled by attention and scored; the text's score is that of its most toxic window.
+A text is a sequence of words (runs of letters, lower-cased). A word's input joins a character part (the mean of the learned vectors of
+all its character n-grams, with marks for its begin and end, and two statistics of them) and a word part (a learned vector of the
+hashed word, and its statistic). The statistics say how much more often training documents with the label hold the n-gram or word than
+others, less one standard error; in training each half's statistics come from the other half. Windows of WINDOW words that begin at every
+STRIDE-th word, so that any WINDOW - STRIDE + 1 words stand whole in one, are read in both directions by gated recurrent units,
+pooled by attention and scored; the text's score is that of its most toxic window.
 
-The network is fitted on at most MAX_EACH labelled rows (without and with the label), of at most MAX_TEXT characters, those first in order of the
-md5 of their id. Whole texts are scored, every window of them. Label, language, source and id are never inputs.
+The network is fitted on at most MAX_EACH labelled documents (without and with the label), those first in order of the md5 of their id, as far as
+all their texts have MAX_CHARS characters. Whole texts are scored, every window of them. Label, language, source and id are never inputs.
 
 Defined cases: null and empty texts, and texts without letters, are scored as one empty window; labels that are null or of missing
-documents are left out, and of several labels for one id the greatest counts; without training rows of both classes every score is
+documents are left out, of several labels for one id the greatest counts, and of several texts of one id the least is fitted on; without training rows of both classes every score is
 0.5; rows of equal id are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import LETTERS, U, blocks, buffers, mix, word_bounds, word_hashes
-from .common import ship
-from .quality import held_out, logistic
+from .common import ship, temporary
+from .quality import first_of, held_out, logistic
 
-MAX_EACH, MAX_TEXT = (3000, 1500), 100_000
+#: Labelled documents to be fitted on, without and with the label, and characters of their texts in all.
+MAX_EACH, MAX_CHARS = (3000, 1500), 48_000_000
 #: Words of a window, and from one window's first to the next one's.
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 8
 GRAMS = (3, 4, 5, 6)
 GRAM_BITS, WORD_BITS, VECTOR_BITS = 20, 18, 14
 CHAR_DIM, WORD_DIM, HIDDEN = 4, 4, 8
@@ -104,21 +106,29 @@ class Table:
         return np.where(t > 0, np.clip(odds - error, 0, 8), 0).astype(np.float32) / 4
 
 
-def inputs(w: Words, gram: np.ndarray, word: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row for each distinct word, the slots of its strongest n-gram's vector and of its word's vector."""
+def slots_of(w: Words) -> np.ndarray:
+    """Of each n-gram, the slot of its vector."""
+    return (w.gram >> U(64 - VECTOR_BITS)).astype(np.int64)
+
+
+def spelled(chars: np.ndarray, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The mean vector of each word's n-grams; first: where each word's slots begin, and the end."""
+    if len(first) < 2:
+        return np.zeros((0, CHAR_DIM), np.float32)
+    return np.add.reduceat(chars[slots], first[:-1], axis=0) / np.diff(first)[:, None].astype(np.float32)
+
+
+def inputs(w: Words, gram: np.ndarray, word: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each distinct word, and the slots of their words' vectors."""
     n = len(w.word)
     if not n:
-        return np.zeros((0, INPUTS), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, INPUTS), np.float32), np.zeros(0, np.int64)
     g = gram[(w.gram >> U(64 - GRAM_BITS)).astype(np.int64)]
     strong = np.maximum.reduceat(g, w.gram_first[:-1])
     mean = np.add.reduceat(g, w.gram_first[:-1]) / np.diff(w.gram_first)
-    # the first of the strongest n-grams
-    top = np.flatnonzero(g >= strong[w.owner])
-    _, at = np.unique(w.owner[top], return_index=True)
-    cs = (w.gram[top[at]] >> U(64 - VECTOR_BITS)).astype(np.int64)
     ws = (mix(w.word) >> U(64 - VECTOR_BITS)).astype(np.int64)
     own = word[(w.word >> U(64 - WORD_BITS)).astype(np.int64)]
-    return np.concatenate([np.stack([strong, mean, own], 1), p["chars"][cs], p["words"][ws]], 1).astype(np.float32), cs, ws
+    return np.concatenate([np.stack([strong, mean, own], 1), spelled(p["chars"], slots_of(w), w.gram_first), p["words"][ws]], 1).astype(np.float32), ws
 
 
 def start(r: np.random.Generator) -> dict[str, np.ndarray]:
@@ -132,27 +142,29 @@ def start(r: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, rows: np.ndarray, keep: bool = False):
     """Log-odds of each window. x: inputs of the distinct words; rows: word numbers, -1 for none."""
     n, steps = rows.shape
     live = rows >= 0
-    states = np.zeros((n, steps, 2 * HIDDEN), np.float32)
+    whole = live.all(0).tolist()
+    states = np.zeros((n, steps, 2 * HIDDEN), x.dtype)
     saved: dict[str, list] = {"f": [], "b": []}
     for d, order, part in (("f", range(steps), slice(0, HIDDEN)), ("b", range(steps - 1, -1, -1), slice(HIDDEN, 2 * HIDDEN))):
-        proj = np.concatenate([x @ p[f"x{d}"] + p[f"c{d}"], np.zeros((1, 3 * HIDDEN), np.float32)])
-        h = np.zeros((n, HIDDEN), np.float32)
+        proj = np.concatenate([x @ p[f"x{d}"] + p[f"c{d}"], np.zeros((1, 3 * HIDDEN), x.dtype)])
+        h = np.zeros((n, HIDDEN), x.dtype)
         wh = p[f"h{d}"]
         wg, wc = np.ascontiguousarray(wh[:, : 2 * HIDDEN]), np.ascontiguousarray(wh[:, 2 * HIDDEN :])
         for t in order:
             a = proj[rows[:, t]]
-            m = live[:, t, None]
-            gates = _sigmoid(np.clip(a[:, : 2 * HIDDEN] + h @ wg, -30, 30))
+            gates = _sigmoid(a[:, : 2 * HIDDEN] + h @ wg)
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
             c = np.tanh(a[:, 2 * HIDDEN :] + (r * h) @ wc)
-            new = np.where(m, h + z * (c - h), h)
+            new = h + z * (c - h)
+            if not whole[t]:
+                new = np.where(live[:, t, None], new, h)
             if keep:
                 saved[d].append((t, h, z, r, c))
             h = new
@@ -161,7 +173,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, rows: np.ndarray, keep: boo
     e -= e.max(1, keepdims=True)
     a = np.exp(e) * (live | ~live.any(1, keepdims=True))
     a /= a.sum(1, keepdims=True)
-    pooled = np.einsum("nt,nth->nh", a, states)
+    pooled = (a[:, None, :] @ states)[:, 0]
     logit = pooled @ p["out"] + p["bias"][0]
     return (logit, (states, a, pooled, saved)) if keep else logit
 
@@ -207,34 +219,37 @@ class Model:
         return _sigmoid(np.clip(self.slope * self.raw(Words(data, offs), self.gram, self.word) + self.shift, -60, 60))
 
     def raw(self, w: Words, gram: np.ndarray, word: np.ndarray) -> np.ndarray:
-        x, _, _ = inputs(w, gram, word, self.p)
+        x, _ = inputs(w, gram, word, self.p)
         rows, text = w.windows()
-        logit = np.concatenate([forward(self.p, x, rows[i : i + 8192]) for i in range(0, len(rows), 8192)])
+        logit = np.concatenate([forward(self.p, x, rows[i : i + 2048]) for i in range(0, len(rows), 2048)])
         out = np.full(len(w.first) - 1, -np.inf, np.float32)
         np.maximum.at(out, text, logit)
         return out
 
     def _ranks(self, docs: list[tuple]) -> list[np.ndarray]:
-        """The log-odds of each document's windows; many documents at a time."""
+        """The log-odds of each document's windows; many documents at a time. docs: statistics, n-gram slots and where each word's
+        begin, word slots, windows."""
         out: list[np.ndarray] = []
         i = 0
         while i < len(docs):
             j, n = i, 0
-            while j < len(docs) and (j == i or n + len(docs[j][3]) <= 4096):
-                n += len(docs[j][3])
+            while j < len(docs) and (j == i or n + len(docs[j][4]) <= 4096):
+                n += len(docs[j][4])
                 j += 1
             some, base, rows = docs[i:j], 0, []
             for d in some:
-                rows.append(np.where(d[3] >= 0, d[3] + base, -1))
+                rows.append(np.where(d[4] >= 0, d[4].astype(np.int64) + base, -1))
                 base += len(d[0])
-            cs, ws = np.concatenate([d[1] for d in some]), np.concatenate([d[2] for d in some])
-            x = np.concatenate([np.concatenate([d[0] for d in some]), self.p["chars"][cs], self.p["words"][ws]], 1).astype(np.float32)
-            logit = forward(self.p, x, np.concatenate(rows))
-            out += np.split(logit, np.cumsum([len(d[3]) for d in some])[:-1])
+            spelling = np.concatenate([spelled(self.p["chars"], d[1], d[2]) for d in some])
+            x = np.concatenate([np.concatenate([d[0] for d in some]), spelling, self.p["words"][np.concatenate([d[3] for d in some])]], 1).astype(np.float32)
+            rows = np.concatenate(rows)
+            logit = np.concatenate([forward(self.p, x, rows[k : k + 2048]) for k in range(0, len(rows), 2048)])
+            out += np.split(logit, np.cumsum([len(d[4]) for d in some])[:-1])
             i = j
         return out
 
-    def fit(self, texts: list[str], y: np.ndarray, seed: int = 11, rounds: int = 6, batch: int = 128) -> Model:
+    def fit(self, texts: list[str], y: np.ndarray, seed: int = 11, rounds: int = 6, batch: int = 128, statistics: bool = True) -> Model:
+        """statistics: whether the network sees the n-grams' and words' statistics; without, it has only what it learns of their vectors."""
         r = np.random.default_rng(seed)
         half = np.zeros(len(texts), int)
         for k in (0, 1):
@@ -255,16 +270,18 @@ class Model:
             first.counts += second.counts
             first.docs += second.docs
         tables = [*other, tuple(t.close() for t in halves[0])]
-        self.gram, self.word = tables[2]
+        self.gram, self.word = (t * statistics for t in tables[2])
         p = self.p = start(r)
         # a window for training: distinct inputs are kept for each document, windows name them
         docs = []
         for t, own in zip(texts, half.tolist(), strict=True):
             w = words(t)
-            x, cs, ws = inputs(w, *tables[own], p)
-            docs.append((x[:, :3], cs, ws, w.windows()[0]))
+            x, ws = inputs(w, *tables[own], p)
+            docs.append((x[:, :3] * statistics, slots_of(w).astype(np.uint16), w.gram_first.astype(np.int32), ws, w.windows()[0].astype(np.int32)))
+        # every other window, and the last one, will do until the end
+        every, docs = docs, [(*d[:4], d[4][np.unique(np.append(np.arange(0, len(d[4]), 2), len(d[4]) - 1))]) for d in docs]
         # at first a labelled document's windows with the strongest words stand for it
-        chance = [np.where(d[3] >= 0, np.append(d[0].max(1) if len(d[0]) else [0.0], 0)[d[3]], 0) for d in docs]
+        chance = [np.where(d[4] >= 0, np.append(d[0].max(1) if len(d[0]) else [0.0], 0)[d[4]], 0) for d in docs]
         ranks = [np.sort(c, 1)[:, -2:].sum(1) for c in chance]
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
         step = 0
@@ -280,27 +297,32 @@ class Model:
             order = np.concatenate([r.permutation(len(chosen)) for _ in range(-(-goal * batch // len(chosen)))])[: goal * batch]
             for s in range(0, len(order), batch):
                 some = [chosen[i] for i in order[s : s + batch]]
-                stats, cs, ws, rows = [], [], [], np.full((len(some), WINDOW), -1, np.int64)
+                stats, cs, many, ws, rows = [], [], [], [], np.full((len(some), WINDOW), -1, np.int64)
                 base = 0
                 for q, (k, i) in enumerate(some):
-                    row = docs[k][3][i]
+                    x3, slots, first, own_ws, windows = docs[k]
+                    row = windows[i]
                     used, back = np.unique(row[row >= 0], return_inverse=True)
                     rows[q, : len(back)] = back + base
                     base += len(used)
-                    stats.append(docs[k][0][used])
-                    cs.append(docs[k][1][used])
-                    ws.append(docs[k][2][used])
-                cs, ws = np.concatenate(cs), np.concatenate(ws)
-                x = np.concatenate([np.concatenate(stats), p["chars"][cs], p["words"][ws]], 1).astype(np.float32)
+                    stats.append(x3[used])
+                    cs += [slots[first[u] : first[u + 1]] for u in used.tolist()]
+                    many.append(first[used + 1] - first[used])
+                    ws.append(own_ws[used])
+                cs, ws, many = np.concatenate(cs).astype(np.int64) if cs else np.zeros(0, np.int64), np.concatenate(ws), np.concatenate(many)
+                ends = np.concatenate([[0], np.cumsum(many)])
+                x = np.concatenate([np.concatenate(stats), spelled(p["chars"], cs, ends), p["words"][ws]], 1).astype(np.float32)
                 t = np.array([y[k] for k, _ in some], np.float32)
                 wt = np.array([weights[k] for k, _ in some], np.float32)
                 logit, kept = forward(p, x, rows, True)
                 g, dx = backward(p, x, rows, kept, (wt * (_sigmoid(logit) - t) / len(some)).astype(np.float32))
-                for name, slots, part in (("chars", cs, slice(3, 3 + CHAR_DIM)), ("words", ws, slice(3 + CHAR_DIM, None))):
+                by_gram = np.repeat(dx[:, 3 : 3 + CHAR_DIM] / np.maximum(many, 1)[:, None], many, axis=0)
+                for name, slots, grad in (("chars", cs, by_gram), ("words", ws, dx[:, 3 + CHAR_DIM :])):
                     used, back = np.unique(slots, return_inverse=True)
-                    sums = np.zeros((len(used), p[name].shape[1]), np.float32)
-                    np.add.at(sums, back, dx[:, part])
-                    p[name][used] -= 0.02 * np.clip(sums, -1, 1) + 1e-4 * p[name][used]
+                    sums = np.stack([np.bincount(back, grad[:, j], len(used)) for j in range(grad.shape[1])], 1).astype(np.float32)
+                    seen = moments[name][0]
+                    seen[used] += sums * sums
+                    p[name][used] -= 0.05 * sums / (np.sqrt(seen[used]) + 1e-6) + 1e-4 * p[name][used]
                 step += 1
                 rate = 0.02 * (0.5 ** (turn // 2))
                 for name, grad in g.items():
@@ -308,7 +330,9 @@ class Model:
                     m += 0.1 * (grad - m)
                     v += 0.01 * (grad * grad - v)
                     p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            ranks = self._ranks(docs)
+            if turn in (0, 2):
+                ranks = self._ranks(docs)
+        ranks = self._ranks(every)
         self.slope, self.shift = logistic(np.array([v.max() for v in ranks], float), y.astype(float))
         return self
 
@@ -319,14 +343,19 @@ def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    known = known.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y")).withColumn("o", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    # the candidates are bounded, so they may be broadcast to the documents
-    some = [known.where(f"y = {k}").orderBy("o", "doc_id").limit(2 * MAX_EACH[k]) for k in (1, 0)]
-    found = own.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= MAX_TEXT)
-    rows = [r for k in (1, 0) for r in found.where(f"y = {k}").orderBy("o", "doc_id", "text").limit(MAX_EACH[k]).collect()]
+    with temporary() as put:
+        pool = put(known.join(own.select("doc_id").where("doc_id is not null").distinct(), "doc_id"), "toxic-labelled")
+        # these are at most MAX_EACH rows, so they may be broadcast to the documents
+        some = [first_of(pool.where(f"y = {k}"), MAX_EACH[k]) for k in (1, 0)]
+        found = own.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "o", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        found = put(found.withColumn("size", F.length("text")), "toxic-texts")
+        upto = F.sum("size").over(Window.orderBy("o", "doc_id"))
+        rows = found.join(F.broadcast(found.select("o", "doc_id", "size").withColumn("upto", upto).select("doc_id", "upto")), "doc_id").where(F.col("upto") <= MAX_CHARS).orderBy("o", "doc_id").select("text", "y").collect()
     y = np.array([r["y"] for r in rows], int)
-    model = Model().fit([r["text"] or "" for r in rows], y) if len(y) and 0 < y.sum() < len(y) else None
+    model = Model().fit([r["text"] for r in rows], y) if len(y) and 0 < y.sum() < len(y) else None
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
