@@ -111,13 +111,24 @@ def slots_of(w: Words) -> np.ndarray:
     return (w.gram >> U(64 - VECTOR_BITS)).astype(np.int64)
 
 
-def spelled(chars: np.ndarray, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The mean vector of each word's n-grams; first: where each word's slots begin, and the end."""
+def spelled(chars: np.ndarray, slots: np.ndarray, first: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
+    """The mean vector of each word's n-grams; first: where each word's slots begin, and the end; share: of the word's n-grams, that of each
+    slot, where slots aren't repeated."""
     if len(first) < 2:
         return np.zeros((0, CHAR_DIM), np.float32)
+    if share is not None:
+        return np.add.reduceat(chars[slots] * share[:, None], first[:-1], axis=0)
     return np.add.reduceat(chars[slots], first[:-1], axis=0) / np.diff(first)[:, None].astype(np.float32)
 
 
+def spelling(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """slots, first and share for ``spelled``, each slot once a word: a word of any length has at most as many as there are vectors."""
+    key, count = np.unique((w.owner << VECTOR_BITS) + slots_of(w), return_counts=True)
+    owner = key >> VECTOR_BITS
+    share = count / np.diff(w.gram_first)[owner] if len(owner) else count
+    return (key & ((1 << VECTOR_BITS) - 1)).astype(np.uint16), np.searchsorted(owner, np.arange(len(w.word) + 1)).astype(np.int32), share.astype(np.float32)
+
+
 def inputs(w: Words, gram: np.ndarray, word: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A row for each distinct word, and the slots of their words' vectors."""
     n = len(w.word)
@@ -227,24 +238,24 @@ class Model:
         return out
 
     def _ranks(self, docs: list[tuple]) -> list[np.ndarray]:
-        """The log-odds of each document's windows; many documents at a time. docs: statistics, n-gram slots and where each word's
-        begin, word slots, windows."""
+        """The log-odds of each document's windows; many documents at a time. docs: statistics, ``spelling``, word slots,
+        windows."""
         out: list[np.ndarray] = []
         i = 0
         while i < len(docs):
             j, n = i, 0
-            while j < len(docs) and (j == i or n + len(docs[j][4]) <= 4096):
-                n += len(docs[j][4])
+            while j < len(docs) and (j == i or n + len(docs[j][3]) <= 4096):
+                n += len(docs[j][3])
                 j += 1
             some, base, rows = docs[i:j], 0, []
             for d in some:
-                rows.append(np.where(d[4] >= 0, d[4].astype(np.int64) + base, -1))
+                rows.append(np.where(d[3] >= 0, d[3].astype(np.int64) + base, -1))
                 base += len(d[0])
-            spelling = np.concatenate([spelled(self.p["chars"], d[1], d[2]) for d in some])
-            x = np.concatenate([np.concatenate([d[0] for d in some]), spelling, self.p["words"][np.concatenate([d[3] for d in some])]], 1).astype(np.float32)
+            vectors = np.concatenate([spelled(self.p["chars"], *d[1]) for d in some])
+            x = np.concatenate([np.concatenate([d[0] for d in some]), vectors, self.p["words"][np.concatenate([d[2] for d in some])]], 1).astype(np.float32)
             rows = np.concatenate(rows)
             logit = np.concatenate([forward(self.p, x, rows[k : k + 2048]) for k in range(0, len(rows), 2048)])
-            out += np.split(logit, np.cumsum([len(d[4]) for d in some])[:-1])
+            out += np.split(logit, np.cumsum([len(d[3]) for d in some])[:-1])
             i = j
         return out
 
@@ -277,11 +288,11 @@ class Model:
         for t, own in zip(texts, half.tolist(), strict=True):
             w = words(t)
             x, ws = inputs(w, *tables[own], p)
-            docs.append((x[:, :3] * statistics, slots_of(w).astype(np.uint16), w.gram_first.astype(np.int32), ws, w.windows()[0].astype(np.int32)))
+            docs.append((x[:, :3] * statistics, spelling(w), ws, w.windows()[0].astype(np.int32)))
         # every other window, and the last one, will do until the end
-        every, docs = docs, [(*d[:4], d[4][np.unique(np.append(np.arange(0, len(d[4]), 2), len(d[4]) - 1))]) for d in docs]
+        every, docs = docs, [(*d[:3], d[3][np.unique(np.append(np.arange(0, len(d[3]), 2), len(d[3]) - 1))]) for d in docs]
         # at first a labelled document's windows with the strongest words stand for it
-        chance = [np.where(d[4] >= 0, np.append(d[0].max(1) if len(d[0]) else [0.0], 0)[d[4]], 0) for d in docs]
+        chance = [np.where(d[3] >= 0, np.append(d[0].max(1) if len(d[0]) else [0.0], 0)[d[3]], 0) for d in docs]
         ranks = [np.sort(c, 1)[:, -2:].sum(1) for c in chance]
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
         step = 0
@@ -297,26 +308,29 @@ class Model:
             order = np.concatenate([r.permutation(len(chosen)) for _ in range(-(-goal * batch // len(chosen)))])[: goal * batch]
             for s in range(0, len(order), batch):
                 some = [chosen[i] for i in order[s : s + batch]]
-                stats, cs, many, ws, rows = [], [], [], [], np.full((len(some), WINDOW), -1, np.int64)
+                stats, cs, shares, many, ws, rows = [], [], [], [], [], np.full((len(some), WINDOW), -1, np.int64)
                 base = 0
                 for q, (k, i) in enumerate(some):
-                    x3, slots, first, own_ws, windows = docs[k]
+                    x3, (slots, first, share), own_ws, windows = docs[k]
                     row = windows[i]
                     used, back = np.unique(row[row >= 0], return_inverse=True)
                     rows[q, : len(back)] = back + base
                     base += len(used)
                     stats.append(x3[used])
-                    cs += [slots[first[u] : first[u + 1]] for u in used.tolist()]
+                    spans = [slice(first[u], first[u + 1]) for u in used.tolist()]
+                    cs += [slots[x] for x in spans]
+                    shares += [share[x] for x in spans]
                     many.append(first[used + 1] - first[used])
                     ws.append(own_ws[used])
-                cs, ws, many = np.concatenate(cs).astype(np.int64) if cs else np.zeros(0, np.int64), np.concatenate(ws), np.concatenate(many)
+                cs, shares = (np.concatenate(cs).astype(np.int64), np.concatenate(shares)) if cs else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+                ws, many = np.concatenate(ws), np.concatenate(many)
                 ends = np.concatenate([[0], np.cumsum(many)])
-                x = np.concatenate([np.concatenate(stats), spelled(p["chars"], cs, ends), p["words"][ws]], 1).astype(np.float32)
+                x = np.concatenate([np.concatenate(stats), spelled(p["chars"], cs, ends, shares), p["words"][ws]], 1).astype(np.float32)
                 t = np.array([y[k] for k, _ in some], np.float32)
                 wt = np.array([weights[k] for k, _ in some], np.float32)
                 logit, kept = forward(p, x, rows, True)
                 g, dx = backward(p, x, rows, kept, (wt * (_sigmoid(logit) - t) / len(some)).astype(np.float32))
-                by_gram = np.repeat(dx[:, 3 : 3 + CHAR_DIM] / np.maximum(many, 1)[:, None], many, axis=0)
+                by_gram = np.repeat(dx[:, 3 : 3 + CHAR_DIM], many, axis=0) * shares[:, None]
                 for name, slots, grad in (("chars", cs, by_gram), ("words", ws, dx[:, 3 + CHAR_DIM :])):
                     used, back = np.unique(slots, return_inverse=True)
                     sums = np.stack([np.bincount(back, grad[:, j], len(used)) for j in range(grad.shape[1])], 1).astype(np.float32)
