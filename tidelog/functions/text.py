@@ -22,8 +22,21 @@ def parse_i32(c: Column) -> Column:
     return F.when(c.rlike(r"\A[+-]?[0-9]+\z"), c.try_cast("int"))
 
 
+def trimmed(c: Column) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.regexp_replace(c, r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
+
+
+#: What is a number: decimal digits, a point, an exponent; or infinity or not-a-number by name.
+F64 = r"\A[+-]?((?i:inf|infinity|nan)|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\z"
+
+
 def parse_f64(c: Column) -> Column:
-    return F.trim(c).try_cast("double")
+    """A double of a text without white space; else null."""
+    sign = F.regexp_extract(c, r"\A([+-]?)", 1)
+    name = F.lower(F.regexp_replace(c, r"\A[+-]", ""))
+    special = F.when(name == "nan", F.lit(float("nan"))).when(name.isin("inf", "infinity"), F.when(sign == "-", float("-inf")).otherwise(float("inf")))
+    return F.when(c.rlike(F64), F.coalesce(special, c.try_cast("double")))
 
 
 def i32_error(c: Column) -> Column:
@@ -66,5 +79,9 @@ def pretty_hex(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.hex(raw)), "(..)", "$1 "))
 
 
+#: Three, two and four decimal digits of any script.
+SSN = r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}"
+
+
 def mask_ssn(c: Column) -> Column:
-    return F.regexp_replace(c, r"\d{3}-\d{2}-\d{4}", "***-**-****")
+    return F.regexp_replace(c, SSN, "***-**-****")

@@ -9,7 +9,8 @@ A transform is a factory from parameters to a step, registered under ``name@vers
     Aggregate(fold)            one record for each, its value the accumulator so far
     Stateful(run)              anything else over the log in order
 
-Each may have an ``error`` expression: null, or why the record can't be processed.
+Each may have an ``error`` expression: null, or why the record can't be processed. A log may carry the failures of earlier steps in the column
+FAILED; stateless steps leave such records as they are.
 """
 
 from __future__ import annotations
@@ -26,10 +27,27 @@ from ..errors import TransformInitError, TransformInvalidExports, TransformNotFo
 KINDS = ("filter", "map", "filter_map", "array_map", "aggregate")
 
 
+#: The failure of a record: kind, step, hint, and key and value as they were; null where it hasn't failed.
+FAILED = "_failed"
+
+
 @dataclass(frozen=True)
 class Step:
     kind: str
     error: Column | None = None
+    #: Whether Python functions are called, which must not see records that have failed.
+    python: bool = field(default=False, kw_only=True)
+
+
+def _kept(log: DataFrame, keep: Column) -> DataFrame:
+    return log.where(F.col(FAILED).isNotNull() | keep if FAILED in log.columns else keep)
+
+
+def _mapped(log: DataFrame, key: Column, value: Column) -> DataFrame:
+    made = {"key": key.cast("binary"), "value": value.cast("binary")}
+    if FAILED in log.columns:
+        made = {c: F.when(F.col(FAILED).isNull(), x).otherwise(F.col(c)) for c, x in made.items()}
+    return log.withColumns(made)
 
 
 @dataclass(frozen=True)
@@ -37,7 +55,7 @@ class Filter(Step):
     keep: Column | None = None
 
     def apply(self, log: DataFrame) -> DataFrame:
-        return log.where(self.keep)
+        return _kept(log, self.keep)
 
 
 @dataclass(frozen=True)
@@ -46,7 +64,7 @@ class Map(Step):
     value: Column | None = None
 
     def apply(self, log: DataFrame) -> DataFrame:
-        return log.withColumns({"key": self.key.cast("binary"), "value": self.value.cast("binary")})
+        return _mapped(log, self.key, self.value)
 
 
 @dataclass(frozen=True)
@@ -56,7 +74,7 @@ class FilterMap(Step):
     value: Column | None = None
 
     def apply(self, log: DataFrame) -> DataFrame:
-        return log.where(self.keep).withColumns({"key": self.key.cast("binary"), "value": self.value.cast("binary")})
+        return _mapped(_kept(log, self.keep), self.key, self.value)
 
 
 @dataclass(frozen=True)
@@ -64,11 +82,19 @@ class ArrayMap(Step):
     records: Column | None = None
 
     def apply(self, log: DataFrame) -> DataFrame:
-        """Order of the made records: sub_index, after their source's offset."""
+        """Order of the made records: sub_index, after their source's offset. It is their number, or an array of the numbers of each such step
+        where records of records are made."""
         rest = [c for c in log.columns if c not in ("key", "value", "sub_index")]
-        made = log.select(*rest, *(["sub_index"] if "sub_index" in log.columns else []), F.posexplode(self.records).alias("_i", "_r"))
-        sub = F.col("_i").cast("long") if "sub_index" not in log.columns else F.col("sub_index") * 1_000_000 + F.col("_i")
-        return made.select(*rest, F.col("_r.key").cast("binary").alias("key"), F.col("_r.value").cast("binary").alias("value"), sub.alias("sub_index"))
+        nested = "sub_index" in log.columns
+        records = F.transform(self.records, lambda x: F.struct(x["key"].cast("binary").alias("key"), x["value"].cast("binary").alias("value")))
+        if FAILED in log.columns:
+            records = F.when(F.col(FAILED).isNull(), records).otherwise(F.array(F.struct("key", "value")))
+        made = log.select(*rest, *(["sub_index"] if nested else []), F.posexplode(records).alias("_i", "_r"))
+        number = F.col("_i").cast("long")
+        if nested:
+            before = F.col("sub_index") if log.schema["sub_index"].dataType.typeName() == "array" else F.array("sub_index")
+            number = F.concat(before, F.array(number))
+        return made.select(*rest, F.col("_r.key").alias("key"), F.col("_r.value").alias("value"), number.alias("sub_index"))
 
 
 @dataclass(frozen=True)
@@ -167,7 +193,7 @@ def python_filter(test: Callable[[bytes | None, bytes], bool]) -> Filter:
     def keep(key: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([bool(test(k, v)) for k, v in zip(key, value, strict=True)])
 
-    return Filter("filter", None, keep("key", "value"))
+    return Filter("filter", None, keep("key", "value"), python=True)
 
 
 def python_map(make: Callable[[bytes | None, bytes], tuple[bytes | None, bytes] | None], kind: str = "map") -> Step:
@@ -178,7 +204,7 @@ def python_map(make: Callable[[bytes | None, bytes], tuple[bytes | None, bytes]
         return pd.DataFrame({"keep": [m is not None for m in made], "key": [m and m[0] for m in made], "value": [m and m[1] for m in made]})
 
     out = run("key", "value")
-    return Map("map", None, out["key"], out["value"]) if kind == "map" else FilterMap("filter_map", None, out["keep"], out["key"], out["value"])
+    return Map("map", None, out["key"], out["value"], python=True) if kind == "map" else FilterMap("filter_map", None, out["keep"], out["key"], out["value"], python=True)
 
 
 def python_array_map(make: Callable[[bytes | None, bytes], list[tuple[bytes | None, bytes]]]) -> ArrayMap:
@@ -186,7 +212,7 @@ def python_array_map(make: Callable[[bytes | None, bytes], list[tuple[bytes | No
     def run(key: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([[{"key": k2, "value": v2} for k2, v2 in make(k, v)] for k, v in zip(key, value, strict=True)])
 
-    return ArrayMap("array_map", None, run("key", "value"))
+    return ArrayMap("array_map", None, run("key", "value"), python=True)
 
 
 def python_aggregate(fold: Callable[[bytes, bytes], bytes], initial: bytes = b"") -> Aggregate:
@@ -200,4 +226,4 @@ def python_aggregate(fold: Callable[[bytes, bytes], bytes], initial: bytes = b""
 
         return fold_rows(log, lambda topic, partition: initial, step, log.schema)
 
-    return Aggregate("aggregate", None, run)
+    return Aggregate("aggregate", None, run, python=True)

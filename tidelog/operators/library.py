@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import LookBackError, TransformInitError
 from ..functions import json as J
 from ..functions import text as T
+from ..functions.regex import checked_pattern
 from ..record import LOG_KEYS, by_partition, text
 from .base import Aggregate, ArrayMap, Filter, FilterMap, Map, Stateful, transform
 from .state import deduplicate, fold_rows, prefix
@@ -67,16 +68,12 @@ def above_debug(params: dict) -> Filter:
 
 @transform("filter", "without-ssn")
 def without_ssn(params: dict) -> Filter:
-    return Filter("filter", utf8(), ~V().rlike(r"\d{3}-\d{2}-\d{4}"))
+    return Filter("filter", utf8(), ~V().rlike(T.SSN))
 
 
 @transform("filter", "regex", required=("regex",))
 def regex(params: dict) -> Filter:
-    try:
-        re.compile(params["regex"])
-    except re.error as e:
-        raise TransformInitError(f"regex: {e}") from e
-    return Filter("filter", utf8(), V().rlike(params["regex"]))
+    return Filter("filter", utf8(), V().rlike(checked_pattern(params["regex"])))
 
 
 # --- maps ----------------------------------------------------------------------------------------------------------------
@@ -207,10 +204,10 @@ def _int(seed: str) -> int:
 
 def _sum(base: int) -> Aggregate:
     def run(log: DataFrame) -> DataFrame:
-        out = prefix(log, {"_sum": ("sum", T.parse_i32(F.trim(V())).cast("long"))})
+        out = prefix(log, {"_sum": ("sum", T.parse_i32(T.trimmed(V())).cast("long"))})
         return out.withColumn("value", (F.col("_sum") + base).cast("string").cast("binary")).drop("_sum")
 
-    return Aggregate("aggregate", T.i32_error(F.trim(V())), run)
+    return Aggregate("aggregate", T.i32_error(T.trimmed(V())), run)
 
 
 @transform("aggregate", "sum")
@@ -236,12 +233,12 @@ def average(params: dict, seed: str = "") -> Aggregate:
         raise TransformInitError(f"average: {e}") from e
 
     def run(log: DataFrame) -> DataFrame:
-        out = prefix(log, {"_sum": ("sum", T.parse_f64(V())), "_n": ("count", F.lit(1))})
+        out = prefix(log, {"_sum": ("sum", T.parse_f64(T.trimmed(V()))), "_n": ("count", F.lit(1))})
         count = F.col("_n") + n
         state = F.concat(F.lit('{\n  "average": '), ((F.col("_sum") + base) / count).cast("string"), F.lit(',\n  "count": '), count.cast("string"), F.lit("\n}"))
         return out.withColumn("value", state.cast("binary")).drop("_sum", "_n")
 
-    return Aggregate("aggregate", F.when(T.parse_f64(V()).isNull(), "invalid float literal"), run)
+    return Aggregate("aggregate", F.when(T.parse_f64(T.trimmed(V())).isNull(), "invalid float literal"), run)
 
 
 @transform("aggregate", "add-counts")
@@ -283,7 +280,7 @@ def rising(params: dict, seed: DataFrame | None = None) -> Stateful:
         if seed is None:
             base = F.lit(0)
         else:
-            last = seed.groupBy(*LOG_KEYS).agg(F.max_by(T.parse_i32(V()), "offset").alias("_base"))
+            last = seed.groupBy(*LOG_KEYS).agg(F.max_by(T.parse_i32(V()), F.struct("offset", *(["sub_index"] if "sub_index" in seed.columns else []))).alias("_base"))
             rows = rows.join(by_partition(last), list(LOG_KEYS), "left")
             base = F.coalesce(F.col("_base"), F.lit(0))
         return rows.where(F.col("_i") > F.greatest(base, F.coalesce("_max", base))).select(*log.columns)
@@ -301,11 +298,15 @@ def dedup(params: dict, seed: DataFrame | None = None) -> Stateful:
         raise TransformInitError("count must be positive")
 
     def run(log: DataFrame) -> DataFrame:
+        if seed is None:
+            return deduplicate(log, count)
+        if count is None:
+            return deduplicate(log.join(seed.select(*LOG_KEYS, "value").distinct(), [*LOG_KEYS, "value"], "left_anti").select(*log.columns), None)
+        # no more of the look-back is known than the filter remembers, for each partition
+        nth = F.row_number().over(Window.partitionBy(*LOG_KEYS).orderBy(F.col("offset").desc()))
         kept: dict[tuple[str, int], list[bytes]] = {}
-        if seed is not None:
-            # the look-back is as long as it says, for each partition
-            for r in seed.orderBy(*LOG_KEYS, "offset").toLocalIterator():
-                kept.setdefault((r["topic"], r["partition"]), []).append(bytes(r["value"]))
+        for r in seed.withColumn("_nth", nth).where(F.col("_nth") <= count).orderBy(*LOG_KEYS, "offset").toLocalIterator():
+            kept.setdefault((r["topic"], r["partition"]), []).append(bytes(r["value"]))
         return deduplicate(log, count, kept)
 
     return Stateful("filter", None, run)

@@ -78,8 +78,10 @@ def deduplicate(log: DataFrame, count: int | None, seed: dict[tuple[str, int], l
     if count is not None and count < 1:
         raise ValueError("the number of remembered values must be positive")
     if count is None and not seed:
-        first = log.groupBy(*LOG_KEYS, "value").agg(F.min_by(F.struct("timestamp", "key"), "offset").alias("_x"), F.min("offset").alias("offset"))
-        return first.select("topic", "partition", "offset", F.col("_x.timestamp").alias("timestamp"), F.col("_x.key").alias("key"), "value")
+        place = ["offset", *(["sub_index"] if "sub_index" in log.columns else [])]
+        rest = [c for c in log.columns if c not in (*LOG_KEYS, "value")]
+        first = log.groupBy(*LOG_KEYS, "value").agg(F.min_by(F.struct(*rest), F.struct(*place)).alias("_x"))
+        return first.select(*[c if c in LOG_KEYS or c == "value" else F.col(f"_x.{c}").alias(c) for c in log.columns])
     seed = seed or {}
 
     def initial(topic: str, partition: int) -> OrderedDict:
@@ -100,5 +102,5 @@ def latest(log: DataFrame, *keys: str) -> DataFrame:
     """The last record of each key (log compaction); records with an empty value are deletions."""
     keys = keys or ("topic", "partition", "key")
     rest = [c for c in log.columns if c not in keys]
-    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "offset").alias("_x"))
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("offset", *(["sub_index"] if "sub_index" in log.columns else []))).alias("_x"))
     return last.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest]).where(F.length("value") > 0).select(*log.columns)
