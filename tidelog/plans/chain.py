@@ -1,8 +1,9 @@
 """Chains of transforms over a log: look-back, error policy, metrics.
 
-A chain is one logical plan. Where a step can fail, its error expression becomes a column: ``halt`` (the default) cuts each partition before
-its first error, by a join with the few first errors, before later steps see what follows; ``skip`` leaves the failing records out;
-``fail`` looks for errors first and raises one. ``errors`` of the result has the failing records.
+A chain is one logical plan. A record that fails in a step keeps the failure in a column and passes the following steps unchanged, up to the
+next fold, Python function, or the end. There the failures count: ``halt`` (the default) cuts each partition before its first failing
+record, by a join with the few first ones; ``skip`` leaves failing records out; ``fail`` looks for one and raises it. So a run of steps
+is read twice at most, however many of them can fail. ``errors`` of the result has the failing records.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import ChainInitError, LogError, LookBackError, TransformInitError, TransformNotFound, TransformRuntimeError
 from ..offsets import partition_offsets
 from ..operators import library  # noqa: F401  registers the bundled transforms
-from ..operators.base import REGISTRY, LookBack, Registry, Step
+from ..operators.base import FAILED, REGISTRY, Aggregate, LookBack, Registry, Stateful, Step
 from ..record import LOG_KEYS, by_partition
 
 ERROR_SCHEMA = "topic string, partition int, offset long, kind string, step int, hint string, key binary, value binary"
@@ -50,6 +51,23 @@ def looked_back(log: DataFrame, look_back: LookBack, now_ms: int | None = None,
     return rows.select(*log.columns)
 
 
+def settled(log: DataFrame, policy: str) -> tuple[DataFrame, DataFrame]:
+    """The records that are left of a log with failures, and the failures that count."""
+    rest = [c for c in log.columns if c != FAILED]
+    bad = log.where(F.col(FAILED).isNotNull())
+    if policy == "fail":
+        if first := bad.orderBy(*LOG_KEYS, "offset").first():
+            x = first[FAILED]
+            raise TransformRuntimeError(x["hint"], first["partition"], first["offset"], x["kind"], x["key"] and bytes(x["key"]), bytes(x["value"]))
+    if policy != "halt":
+        return log.where(F.col(FAILED).isNull()).select(*rest), bad.select(*LOG_KEYS, "offset", f"{FAILED}.*")
+    place = F.struct("offset", "sub_index") if "sub_index" in rest else F.struct("offset")
+    first = bad.groupBy(*LOG_KEYS).agg(F.min_by(FAILED, place).alias("_x"), F.min(place).alias("_cut"))
+    left = log.join(by_partition(first.select(*LOG_KEYS, "_cut")), list(LOG_KEYS), "left")
+    left = left.where(F.col(FAILED).isNull() & (F.col("_cut").isNull() | (place < F.col("_cut"))))
+    return left.select(*rest), first.select(*LOG_KEYS, F.col("_cut.offset").alias("offset"), "_x.*")
+
+
 class Chain:
     def __init__(self, *calls: Call | Step | str, registry: Registry = REGISTRY):
         self.calls = [c if isinstance(c, Call) else Call(c) for c in calls]
@@ -82,32 +100,38 @@ class Chain:
 
     def run(self, log: DataFrame, policy: str = "halt", history: DataFrame | None = None, now_ms: int | None = None, high_watermark: DataFrame | None = None, metrics: str | None = None) -> Result:
         """history: the whole log, where ``log`` is only what is read of it and steps look back. metrics: name under which the records
-        and bytes that come in and go out are observed (``DataFrame.observe``)."""
+        and bytes that come in and go out, and each step's records and errors, are observed (``DataFrame.observe``). policy ``mark``, for
+        chains without state: failing records stay, with their failure in the column FAILED."""
         if metrics:
             log = log.observe(f"{metrics}_in", F.count(F.lit(1)).alias("records"), F.sum(F.length("value")).alias("bytes"))
         errors: list[DataFrame] = []
+
+        def settle(log: DataFrame) -> DataFrame:
+            if FAILED not in log.columns or policy == "mark":
+                return log
+            log, told = settled(log, policy)
+            errors.append(told)
+            return log
+
         for k, step in enumerate(self.steps(history if history is not None else log, now_ms, high_watermark)):
+            if step.python:  # it must not see what failed
+                log = settle(log)
             if step.error is not None:
-                if policy == "fail":
-                    if bad := log.withColumn("_hint", step.error).where(F.col("_hint").isNotNull()).first():
-                        raise TransformRuntimeError(bad["_hint"], bad["partition"], bad["offset"], step.kind, bad["key"] and bytes(bad["key"]), bytes(bad["value"]))
-                else:
-                    bad = log.withColumn("_hint", step.error).where(F.col("_hint").isNotNull())
-                    told = bad.select(*LOG_KEYS, "offset", F.lit(step.kind).alias("kind"), F.lit(k).alias("step"), F.col("_hint").alias("hint"), "key", "value")
-                    if policy == "skip":
-                        log = log.where(step.error.isNull())
-                        errors.append(told)
-                    else:
-                        first = told.groupBy(*LOG_KEYS).agg(F.min_by(F.struct("kind", "step", "hint", "key", "value"), "offset").alias("_x"), F.min("offset").alias("offset"))
-                        cut = first.select(*LOG_KEYS, F.col("offset").alias("_cut"))
-                        log = log.join(by_partition(cut), list(LOG_KEYS), "left").where(F.col("_cut").isNull() | (F.col("offset") < F.col("_cut"))).select(*log.columns)
-                        errors.append(first.select(*LOG_KEYS, "offset", "_x.*"))
+                # always true, but not to the optimiser, which would else put all steps' expressions into one condition, again and again
+                told = F.when((F.spark_partition_id() >= 0) & step.error.isNotNull(), F.struct(F.lit(step.kind).alias("kind"), F.lit(k).alias("step"), step.error.alias("hint"), "key", "value"))
+                log = log.withColumn(FAILED, F.coalesce(F.col(FAILED), told) if FAILED in log.columns else told)
+            if metrics:
+                failed = F.col(FAILED)["step"] if FAILED in log.columns else F.lit(None).cast("int")
+                log = log.observe(f"{metrics}_{k}_{step.kind}", F.count(F.when(failed.isNull() | (failed == k), 1)).alias("records"), F.count(F.when(failed == k, 1)).alias("errors"))
+            if isinstance(step, (Aggregate, Stateful)):
+                log = settle(log)
             log = step.apply(log)
+        log = settle(log)
         if metrics:
             log = log.observe(f"{metrics}_out", F.count(F.lit(1)).alias("records"), F.sum(F.length("value")).alias("bytes"))
         told = reduce(DataFrame.unionByName, errors) if errors else log.sparkSession.createDataFrame([], ERROR_SCHEMA)
         if policy == "halt" and len(errors) > 1:
-            # only the earliest counts: what a later step found before it, or after the cut of an earlier one
+            # only the earliest counts: what a later run of steps found before it
             told = told.groupBy(*LOG_KEYS).agg(F.min_by(F.struct("kind", "step", "hint", "key", "value"), F.struct("offset", "step")).alias("_x"), F.min("offset").alias("offset")).select(*LOG_KEYS, "offset", "_x.*")
         return Result(log, told)
 
