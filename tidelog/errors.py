@@ -35,10 +35,6 @@ class OffsetManagementDisabled(LogError):
     pass
 
 
-class MaxRetryReached(LogError):
-    pass
-
-
 class TransformNotFound(LogError):
     pass
 
@@ -71,14 +67,6 @@ class LookBackError(LogError):
         self.hint, self.partition, self.offset, self.key, self.value = hint, partition, offset, key, value
 
 
-class TransformMemoryExceeded(LogError):
-    pass
-
-
-class TableFormatNotFound(LogError):
-    pass
-
-
 class CompressionError(LogError):
     pass
 

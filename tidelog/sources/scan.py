@@ -6,8 +6,9 @@ Relative offsets need each partition's bounds, one row for each partition, which
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..errors import OffsetEvicted, OffsetOutOfRange, TopicNotFound
 from ..offsets import Offset, partition_offsets
@@ -28,12 +29,53 @@ def open_log(spark: SparkSession, path: str, topic: str | None = None) -> DataFr
     return log.select(*COLUMNS)
 
 
-def follow_log(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A stored log as a stream that goes on as files are added. ``max_files`` bounds a micro-batch: the reader's flow control."""
+def follow_log(
+    spark: SparkSession,
+    path: str,
+    max_files: int | None = None,
+    partitions: list[int] | None = None,
+    start: Offset | None = None,
+    consumer_offsets: DataFrame | None = None,
+    consumer_id: str | None = None,
+    resolved: str | None = None,
+) -> DataFrame:
+    """A stored log as a stream that goes on as files are added, from the beginning or from ``start``. ``max_files`` bounds a micro-batch: the
+    reader's flow control. An append to the log is seen whole or not at all, so a stream reads committed records only.
+
+    Relative starts, and a consumer's stored offsets, are resolved when the stream is made, by the partitions that there are; later partitions
+    are read from their beginning. ``resolved`` is a folder that keeps them: a stream that is restarted with it goes on from the
+    same start, as its checkpoint does."""
     reader = spark.readStream.schema(RECORD)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path).select(*COLUMNS)
+    stream = reader.parquet(path).select(*COLUMNS)
+    if partitions is not None:
+        stream = stream.where(F.col("partition").isin([int(p) for p in partitions]))
+    if start is None and consumer_offsets is None:
+        return stream
+    start = start or Offset.beginning()
+    if start.kind == "absolute":
+        return stream.where(F.col("offset") >= start.value)
+    known = "topic string, partition int, _from long"
+    try:
+        first = spark.read.schema(known).parquet(resolved) if resolved else None
+    except AnalysisException:
+        first = None
+    if first is None:
+        bounds, consumer = partition_offsets(spark.read.schema(RECORD).parquet(path)), None
+        if consumer_offsets is not None and consumer_id is not None:
+            bounds, consumer = resumed(bounds, consumer_offsets, consumer_id)
+        rows = bounds.select(*LOG_KEYS, start.column(F.col("start"), F.col("leo"), consumer).alias("_from")).collect()
+        first = spark.createDataFrame(rows, known)
+        if resolved:
+            first.coalesce(1).write.parquet(resolved)
+    return stream.join(by_partition(first), list(LOG_KEYS), "left").where(F.col("offset") >= F.coalesce("_from", F.lit(0))).select(*COLUMNS)
+
+
+def resumed(bounds: DataFrame, consumer_offsets: DataFrame, consumer_id: str) -> tuple[DataFrame, Column]:
+    """``bounds`` with the consumer's next offset, and that column."""
+    mine = consumer_offsets.where(F.col("consumer_id") == consumer_id).select(*LOG_KEYS, (F.col("offset") + 1).alias("_next"))
+    return bounds.join(mine, list(LOG_KEYS), "left"), F.col("_next")
 
 
 def read_log(
@@ -71,9 +113,7 @@ def read_log(
     stable = F.col("hw") if isolation == READ_COMMITTED else F.col("leo")
     consumer = None
     if consumer_offsets is not None and consumer_id is not None:
-        mine = consumer_offsets.where(F.col("consumer_id") == consumer_id).select(*LOG_KEYS, (F.col("offset") + 1).alias("_next"))
-        bounds = bounds.join(mine, list(LOG_KEYS), "left")
-        consumer = F.col("_next")
+        bounds, consumer = resumed(bounds, consumer_offsets, consumer_id)
     bounds = bounds.select(*LOG_KEYS, start.column(F.col("start"), stable, consumer).alias("_from"), stable.alias("_to"))
     out = log_read.join(by_partition(bounds), list(LOG_KEYS)).where((F.col("offset") >= F.col("_from")) & (F.col("offset") < F.col("_to")))
     return out.select(*log.columns)
@@ -98,14 +138,18 @@ def tail(log: DataFrame, n: int, **how) -> DataFrame:
     return read_log(log, start=Offset.from_end(n), **how)
 
 
-def fetch(log: DataFrame, max_bytes: int = MAX_BYTES, chunk: int = 4096, **how) -> DataFrame:
-    """One page of each partition: the records whose bytes, summed from the start, stay within the budget; the first always comes.
-    Sums run over chunks of offsets first, so that a long partition is no single task."""
+def fetch(log: DataFrame, max_bytes: int = MAX_BYTES, chunk: int = 4096, chain=None, **how) -> DataFrame:
+    """One page of each partition: the records whose bytes, summed from the start, stay within the budget; the first always comes. With a
+    ``chain`` the budget is that of its output. Sums run over chunks of offsets first, so that a long partition is no single task."""
     from ..operators.state import prefix
 
-    rows = read_log(log, **how).withColumn("_size", (F.coalesce(F.length("key"), F.lit(0)) + F.length("value")).cast("long"))
+    rows = read_log(log, **how)
+    if chain is not None:
+        rows = chain.run(rows, history=log).records
+    columns = rows.columns
+    rows = rows.withColumn("_size", (F.coalesce(F.length("key"), F.lit(0)) + F.length("value")).cast("long"))
     rows = prefix(rows, {"_sum": ("sum", F.col("_size")), "_nth": ("count", F.lit(1))}, chunk=chunk)
-    return rows.where((F.col("_sum") <= max_bytes) | (F.col("_nth") == 1)).select(*log.columns)
+    return rows.where((F.col("_sum") <= max_bytes) | (F.col("_nth") == 1)).select(*columns)
 
 
 def fetch_many(topics: dict[str, DataFrame], max_bytes: int = MAX_BYTES, **how) -> DataFrame:
@@ -118,9 +162,8 @@ def fetch_many(topics: dict[str, DataFrame], max_bytes: int = MAX_BYTES, **how)
 
 
 def merged(log: DataFrame) -> DataFrame:
-    """All partitions in one repeatable order."""
-    return log.orderBy("topic", "partition", "offset")
+    """All partitions as one, in one repeatable order: ``position`` counts from 0. Rows are ranged, so no task sorts the whole log."""
+    from .write import numbered
 
+    return numbered(log, ["topic", "partition", "offset"], "position")
 
-def in_order(log: DataFrame) -> Window:
-    return Window.partitionBy(*LOG_KEYS).orderBy("offset")

@@ -1,4 +1,4 @@
-"""Writing logs: partitioners, deduplication, offsets, retention, and the Parquet store.
+"""Writing logs: partitioners, deduplication, offsets, retention, the Parquet store, and producers with chains of their own.
 
 Each append is one job: records get their partition, are deduplicated if the topic asks for it, and are numbered after what the
 partition holds. The store is a folder by topic and partition; files are sorted by offset, so that offset ranges prune by statistics.
@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..errors import CompressionError, RecordTooLarge
+from ..errors import ChainInitError, CompressionError, PartitionFull, RecordTooLarge
 from ..functions.siphash import key_partition
 from ..operators.base import REGISTRY, Registry
 from ..operators.state import prefix
-from ..plans.chain import Chain
+from ..plans.chain import Call, Chain
 from ..plans.spec import TopicSpec
 from ..record import COLUMNS, LOG_KEYS, RECORD, by_partition
 from .scratch import scratch_path
@@ -69,17 +69,28 @@ def checked(records: DataFrame, max_request: int = MAX_REQUEST) -> DataFrame:
     return records
 
 
+def chain_order(log: DataFrame) -> list[str]:
+    """How a chain's records follow one another: those made of one record by sub_index."""
+    return ["offset", *(["sub_index"] if "sub_index" in log.columns else [])]
+
+
 class Store:
-    """Logs on disk."""
+    """Logs on disk. Beside the records, ``_bounds`` has the partitions' ends as of some append and ``_starts`` what retention has cut off."""
 
     def __init__(self, spark: SparkSession, path: str, registry: Registry = REGISTRY):
         self.spark, self.path, self.registry = spark, path, registry
 
     def read(self) -> DataFrame:
         try:
-            return self.spark.read.schema(RECORD).parquet(self.path).select(*COLUMNS)
+            log = self.spark.read.schema(RECORD).parquet(self.path).select(*COLUMNS)
         except AnalysisException:
             return self.spark.createDataFrame([], RECORD)
+        try:
+            starts = self.spark.read.schema("topic string, partition int, start long").parquet(f"{self.path}/_starts")
+        except AnalysisException:
+            return log
+        starts = starts.groupBy(*LOG_KEYS).agg(F.max("start").alias("_start"))
+        return log.join(by_partition(starts), list(LOG_KEYS), "left").where(F.col("offset") >= F.coalesce("_start", F.lit(0))).select(*COLUMNS)
 
     def bounds(self, topic: str, partitions: int | None = None) -> DataFrame:
         """topic, partition, leo: a row for each of the topic's partitions. The folder ``_bounds`` remembers them as of some append, so
@@ -112,15 +123,107 @@ class Store:
         bounds = self.bounds(topic.name, topic.partitions)
         placed = with_offsets(rows, order, bounds)
         if chain is not None:
-            placed = with_offsets(chain.run(placed, policy="fail").records, ["offset"], bounds)
+            made = chain.run(placed, policy="fail", history=now).records
+            placed = with_offsets(made, chain_order(made), bounds)
         if topic.deduplication is not None:
             kept = Chain(topic.deduplication.call(self.registry), registry=self.registry).run(placed, policy="fail", history=now).records
-            placed = with_offsets(kept, ["offset"], bounds)
-        out = placed.repartitionByRange(*LOG_KEYS, "offset").sortWithinPartitions(*LOG_KEYS, "offset")
-        out.write.mode("append").partitionBy(*LOG_KEYS).option("compression", _CODECS[compression]).parquet(self.path)
-        self.bounds(topic.name, topic.partitions).coalesce(1).write.mode("append").parquet(f"{self.path}/_bounds")
+            placed = with_offsets(kept, chain_order(kept), bounds)
+        # numbered rows are dealt by range already
+        out = placed.sortWithinPartitions(*LOG_KEYS, "offset")
+        try:
+            out.write.mode("append").partitionBy(*LOG_KEYS).option("compression", _CODECS[compression]).parquet(self.path)
+        except Exception as e:
+            if "No space left on device" in str(e):
+                raise PartitionFull(f"no space is left for topic {topic.name}") from e
+            raise
+        ends = placed.groupBy(*LOG_KEYS).agg((F.max("offset") + 1).alias("leo"))
+        bounds.unionByName(ends).groupBy(*LOG_KEYS).agg(F.max("leo").alias("leo")).coalesce(1).write.mode("append").parquet(f"{self.path}/_bounds")
         return placed
 
+    def retain(self, topic: TopicSpec, now_ms: int) -> DataFrame:
+        """Retention of the topic: whole segments of ``segment_bytes`` go from a partition's beginning while their records are all older than
+        the retention time, and while the partition exceeds its size; the last segment stays. Reads see it at once, and files that
+        hold nothing else are deleted. Returns topic, partition, start."""
+        log = self.read().where(F.col("topic") == topic.name)
+        segments = segmented(log, topic.segment_bytes)
+        w = Window.partitionBy(*LOG_KEYS).orderBy("segment")
+        whole = Window.partitionBy(*LOG_KEYS)
+        old = F.coalesce((F.col("newest") < now_ms - topic.retention_ms) & F.col("timed"), F.lit(False))
+        excess = F.greatest(F.sum("bytes").over(whole) - topic.max_partition_bytes, F.lit(0))
+        gone = F.min(old.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+        gone = gone | (F.row_number().over(w) <= F.ceil(excess / topic.segment_bytes))
+        last = F.col("segment") == F.max("segment").over(whole)
+        kept = segments.withColumn("_keep", last | ~gone).where("_keep").groupBy(*LOG_KEYS).agg(F.min("first").alias("start"))
+        kept.coalesce(1).write.mode("append").parquet(f"{self.path}/_starts")
+        starts = self.spark.read.schema("topic string, partition int, start long").parquet(f"{self.path}/_starts").groupBy(*LOG_KEYS).agg(F.max("start").alias("start"))
+        stored = self.spark.read.schema(RECORD).parquet(self.path).where(F.col("topic") == topic.name)
+        files = stored.groupBy(F.input_file_name().alias("file"), *LOG_KEYS).agg(F.max("offset").alias("end"))
+        jvm, conf = self.spark._jvm, self.spark._jsc.sc().hadoopConfiguration()
+        for r in files.join(by_partition(starts), list(LOG_KEYS)).where("end < start").select("file").toLocalIterator():
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["file"]))
+            path.getFileSystem(conf).delete(path, False)
+        return starts.where(F.col("topic") == topic.name)
+
+
+class Producer:
+    """Sends records to a topic through a chain of its own, before they get their partitions. The chain's state goes on from one send to the next
+    (accumulators, what filters remember), records that fail in it are left out without a word, and there is no log to look back at."""
+
+    def __init__(self, store: Store, topic: TopicSpec, *calls: Call | str):
+        self.store, self.topic = store, topic
+        self.calls = [c if isinstance(c, Call) else Call(c) for c in calls]
+        if any(c.look_back is not None for c in self.calls):
+            raise ChainInitError("a producer's chain can't look back")
+        Chain(*self.calls, registry=store.registry)
+        self.seeds: dict[int, str] = {}
+        self.kept: dict[int, DataFrame] = {}
+
+    def send(self, records: DataFrame, order: list[Column | str], **how) -> DataFrame:
+        """As ``Store.append``."""
+        spark = self.store.spark
+        if "timestamp" not in records.columns:
+            records = records.withColumn("timestamp", F.unix_millis(F.current_timestamp()))
+        log = with_offsets(records.withColumn("topic", F.lit(self.topic.name)).withColumn("partition", F.lit(0)), order)
+        for k, call in enumerate(self.calls):
+            found = self.store.registry.find(call.uses)
+            own = Call(call.uses, call.params, seed=self.seeds.get(k, call.seed))
+            if found.kind == "aggregate" or found.looks_back:
+                step = found.step(call.params, **({"seed": self.kept[k]} if k in self.kept else {})) if found.looks_back else own
+                path = scratch_path(spark, "producer")
+                Chain(step, registry=self.store.registry).run(log, policy="skip").records.write.parquet(path)
+                log = spark.read.schema(log.schema).parquet(path)
+                if found.looks_back:
+                    self.kept[k] = self._remembered(k, log, call)
+                elif (last := log.agg(F.max_by("value", F.struct(*chain_order(log)))).first()[0]) is not None:
+                    self.seeds[k] = bytes(last).decode()
+            else:
+                log = Chain(own, registry=self.store.registry).run(log, policy="skip").records
+        order = chain_order(log)
+        return self.store.append(self.topic, log.select("key", "value", "timestamp", *order), order, **how)
+
+    def _remembered(self, k: int, kept: DataFrame, call: Call) -> DataFrame:
+        """The last records that a filter has kept, in an order of all sends: as many as it remembers, or all."""
+        n = int(call.params["count"]) if "count" in call.params else None if call.uses == "deduplicate" else 1
+        before = self.kept.get(k)
+        base = 0 if before is None else (before.agg(F.max("offset")).first()[0] or 0) + 1
+        if "sub_index" in kept.columns:
+            kept = with_offsets(kept, ["offset", "sub_index"])
+        both = kept.select(*COLUMNS).withColumn("offset", F.col("offset") + base)
+        both = both if before is None else before.unionByName(both)
+        path = scratch_path(self.store.spark, "remembered")
+        (both if n is None else both.orderBy(F.col("offset").desc()).limit(n)).write.parquet(path)
+        return self.store.spark.read.schema(RECORD).parquet(path)
+
+
+def segmented(log: DataFrame, segment_bytes: int) -> DataFrame:
+    """topic, partition, segment, first (offset), newest (timestamp), timed (whether all records have one), bytes: runs of records in which each
+    partition's bytes pass a multiple of ``segment_bytes``."""
+    size = (F.coalesce(F.length("key"), F.lit(0)) + F.length("value")).cast("long")
+    rows = prefix(log.withColumn("_size", size), {"_sum": ("sum", F.col("_size"))}, before=True)
+    rows = rows.withColumn("segment", F.expr(f"coalesce(_sum, 0) div {segment_bytes}"))
+    timed = F.min(F.col("timestamp").isNotNull())
+    return rows.groupBy(*LOG_KEYS, "segment").agg(F.min("offset").alias("first"), F.max("timestamp").alias("newest"), timed.alias("timed"), F.sum("_size").alias("bytes"))
+
 
 def expired(log: DataFrame, retention_ms: int, now_ms: int) -> DataFrame:
     """What time-based retention leaves: records not older than the retention time; those without a time stay."""
