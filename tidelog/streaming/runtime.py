@@ -17,7 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.text import parse_i32
-from ..plans.chain import Chain, looked_back
+from ..operators.base import FAILED, Filter
+from ..plans.chain import Call, Chain, looked_back
 from ..record import LOG_KEYS, RECORD, text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -91,6 +92,15 @@ def _deduplicating(count: int):
     return process
 
 
+def _halt(halted: bytes, values: list[bytes]):
+    """Values begin with a byte that says whether the record has failed; from the first of these on there is nothing, in any later micro-batch."""
+    out: list[bytes | None] = []
+    for v in values:
+        halted = halted or v[:1].strip(b"\0")
+        out.append(None if halted else v[1:])
+    return halted, out
+
+
 def _rise(raw: bytes, values: list[bytes]):
     last = int(raw or b"0")
     out: list[bytes | None] = []
@@ -154,9 +164,24 @@ def sum_fold(acc: bytes, value: bytes) -> bytes:
 FOLDS: dict[str, Callable[[bytes, bytes], bytes]] = {"sum": sum_fold, "sum-from": sum_fold, "concat": lambda a, v: a + v, "average": _average, "add-counts": _add_counts}
 
 
-def run_stream(stream: DataFrame, chain: Chain, history: DataFrame | None = None) -> DataFrame:
-    """A chain over a stream: the steps of ``Chain.run``, with state where they need it. Records that fail are left out, as a stream has
-    no end to cut. history: the stored log that steps with a look-back are seeded from."""
+def halting_stream(stream: DataFrame, chain: Chain) -> DataFrame:
+    """A chain of stateless steps, one record for one, over a stream: each partition ends before its first failing record, for good."""
+    marked = chain.run(stream, policy="mark").records
+    if FAILED not in marked.columns:
+        return marked
+    if "sub_index" in marked.columns:
+        raise ValueError("a step that makes several records of one can't stop at its first error in a stream")
+    flag = F.when(F.col(FAILED).isNotNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    return _stateful(marked.withColumn("value", F.concat(flag, "value")).drop(FAILED), OrderedProcessor(b"", _halt))
+
+
+def run_stream(stream: DataFrame, chain: Chain, history: DataFrame | None = None, policy: str = "skip") -> DataFrame:
+    """A chain over a stream: the steps of ``Chain.run``, with state where they need it. policy: ``skip`` leaves failing records out, ``halt`` ends
+    a partition at its first. history: the stored log that steps with a look-back are seeded from."""
+    if policy not in ("skip", "halt"):
+        raise ValueError(f"a stream's policy is skip or halt, not {policy}")
+    if policy == "halt":
+        return _halting(stream, chain, history)
     for call in chain.calls:
         name = chain.registry.find(call.uses).name if isinstance(call.uses, str) else ""
         back = looked_back(history, call.look_back) if history is not None and call.look_back is not None else None
@@ -175,6 +200,22 @@ def run_stream(stream: DataFrame, chain: Chain, history: DataFrame | None = None
     return stream
 
 
+def _halting(stream: DataFrame, chain: Chain, history: DataFrame | None) -> DataFrame:
+    """Runs of stateless steps halt together; a step with state sees what they have passed and checked for it."""
+    run: list[Call] = []
+    for call in chain.calls:
+        found = chain.registry.find(call.uses) if isinstance(call.uses, str) else None
+        if found is None or found.kind != "aggregate" and not found.looks_back:
+            run.append(call)
+            continue
+        error = found.step(call.params).error
+        check = [] if error is None else [Call(Filter(found.kind, error, F.lit(True)))]
+        stream = halting_stream(stream, Chain(*run, *check, registry=chain.registry)) if run or check else stream
+        stream = run_stream(stream, Chain(call, registry=chain.registry), history)
+        run = []
+    return halting_stream(stream, Chain(*run, registry=chain.registry)) if run else stream
+
+
 def chain_stream(stream: DataFrame, chain: Chain) -> DataFrame:
     """A chain of stateless steps over a stream; records that fail are left out, as a stream has no end to cut."""
     return chain.run(stream, policy="skip").records
