@@ -303,17 +303,26 @@ def array_map_posts(spark, sf_dir):
 # --- folds and state -----------------------------------------------------------------------------------------------------
 
 RUN = 'OVER (PARTITION BY "partition" ORDER BY "offset" ROWS UNBOUNDED PRECEDING)'
-HEAD = 'WHERE "offset" < 200'
+UTC_SQL = """strftime(make_timestamp("timestamp" * 1000), '%Y-%m-%d %H:%M:%S') || CASE WHEN "timestamp" % 1000 <> 0 THEN '.' || lpad(("timestamp" % 1000)::VARCHAR, 3, '0') ELSE '' END || ' UTC'"""
 
 
-@query(f"SELECT {COLS}, 'A' || string_agg(k::VARCHAR, '') {RUN} AS value FROM ev {HEAD}")
+def told(log: DataFrame) -> DataFrame:
+    """Length and digest of values that grow with the log."""
+    return log.select("partition", "offset", text("key").alias("key"), F.length(text("value")).cast("long").alias("length"), F.md5("value").alias("digest"))
+
+
+def growing(piece: str, seed: str = "") -> str:
+    return f"""SELECT {COLS}, length(v)::BIGINT AS length, md5(v) AS digest FROM (SELECT {COLS}, '{seed}' || string_agg({piece}, '') {RUN} AS v FROM ev)"""
+
+
+@query(growing("k::VARCHAR", "A"))
 def agg_concat(spark, sf_dir):
-    return run(scan.head(k_log(spark, sf_dir), 200), Call("concat", seed="A"))
+    return told(Chain(Call("concat", seed="A")).run(k_log(spark, sf_dir)).records)
 
 
-@query(f"SELECT {COLS}, string_agg(k || '_[' || strftime(make_timestamp(\"timestamp\" * 1000), '%Y-%m-%d %H:%M:%S') || CASE WHEN \"timestamp\" % 1000 <> 0 THEN '.' || lpad((\"timestamp\" % 1000)::VARCHAR, 3, '0') ELSE '' END || ' UTC]', '') {RUN} AS value FROM ev {HEAD}")
+@query(growing(f"k || '_[' || {UTC_SQL} || ']'"))
 def agg_concat_timestamp(spark, sf_dir):
-    return run(scan.head(k_log(spark, sf_dir), 200), "concat-with-timestamp")
+    return told(Chain("concat-with-timestamp").run(k_log(spark, sf_dir)).records)
 
 
 @query(f"SELECT {COLS}, (sum(k) {RUN})::VARCHAR AS value FROM ev")
@@ -534,12 +543,14 @@ def view_grouped(spark, sf_dir):
     return views.grouped_view(rows, ["event_type"], {"total": total, "n": F.count(F.lit(1)), "high": F.max("k"), "low": F.min("k")}, epoch_ms(rows, "ts") >= 1_705_276_800_000, F.col("k") > 10)
 
 
-@query(""", p AS (SELECT event_type, ts, k AS price FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) WHERE event_id % 50 = 0)
-SELECT e.event_id, e.event_type, p.price FROM (SELECT event_id, event_type, ts FROM events) e ASOF LEFT JOIN p ON e.event_type = p.event_type AND e.ts >= p.ts""")
+@query(""", p AS (SELECT event_type, ts, max(k) AS price FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY event_type, ts)
+SELECT e.event_id, e.event_type, p.price FROM (SELECT event_id, event_type, ts FROM events) e ASOF LEFT JOIN p ON e.event_type = p.event_type AND e.ts - INTERVAL 1 HOUR >= p.ts""")
 def view_asof_cost(spark, sf_dir):
+    """What an event's type cost an hour before it: the last price by then, of all events of the type."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    prices = rows.where("event_id % 50 = 0").select("event_type", "ts", number().alias("price"))
-    return views.lookup(rows.select("event_id", "event_type", "ts"), ["event_type"], "ts", prices, "ts", ["price"]).select("event_id", "event_type", "price")
+    prices = rows.groupBy("event_type", "ts").agg(F.max(number()).alias("price"))
+    asked = rows.select("event_id", "event_type", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    return views.lookup(asked, ["event_type"], "ts", prices, "ts", ["price"]).select("event_id", "event_type", "price")
 
 
 @query(""", p AS (SELECT r_regionkey, r_name FROM region) SELECT n_name, r_name FROM nation JOIN p ON n_regionkey = r_regionkey""")
@@ -591,3 +602,6 @@ def stream_dedup(spark, sf_dir):
     from ..streaming.runtime import dedup_stream
 
     return shown(_drained(spark, dedup_stream(scan.follow_log(spark, _stored(spark, k_log(spark, sf_dir))), 1)))
+
+
+from . import queries_io  # noqa: E402, F401  registers more

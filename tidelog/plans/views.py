@@ -187,7 +187,3 @@ def lookup(rows: DataFrame, on: list[str], time: str, values: DataFrame, value_t
     out = own.join(starts.select(*on, "_bucket", "_base"), [*on, "_bucket"], "left").withColumn("_x", F.coalesce("_x", "_base"))
     return out.select(*rows.columns, *[F.col("_x")[c].alias(c) for c in columns])
 
-
-def typed_usage(log: DataFrame, schema: str) -> DataFrame:
-    """Values parsed by a schema, beside the key as text."""
-    return log.select(text("key").alias("key"), F.from_json(text("value"), schema).alias("_r")).select("key", "_r.*")
