@@ -288,7 +288,7 @@ class Model:
         for t, own in zip(texts, half.tolist(), strict=True):
             w = words(t)
             x, ws = inputs(w, *tables[own], p)
-            docs.append((x[:, :3] * statistics, spelling(w), ws, w.windows()[0].astype(np.int32)))
+            docs.append((x[:, :3] * statistics, spelling(w), ws, w.windows()[0].astype(np.int16 if len(w.word) < 1 << 15 else np.int32)))
         # every other window, and the last one, will do until the end
         every, docs = docs, [(*d[:3], d[3][np.unique(np.append(np.arange(0, len(d[3]), 2), len(d[3]) - 1))]) for d in docs]
         # at first a labelled document's windows with the strongest words stand for it
