@@ -344,8 +344,10 @@ class Model:
                     m += 0.1 * (grad - m)
                     v += 0.01 * (grad * grad - v)
                     p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            if turn in (0, 2):
-                ranks = self._ranks(docs)
+            # which window of a labelled document has the label is asked after each round, which others come near it less often
+            again = [k for k in range(len(docs)) if y[k] or turn in (0, 2)]
+            for k, rank in zip(again, self._ranks([docs[k] for k in again]), strict=True):
+                ranks[k] = rank
         ranks = self._ranks(every)
         self.slope, self.shift = logistic(np.array([v.max() for v in ranks], float), y.astype(float))
         return self
