@@ -10,7 +10,7 @@ from tidelog.errors import CompressionError, DeduplicationNotLoaded, OffsetEvict
 from tidelog.functions.siphash import key_hash, siphash24
 from tidelog.offsets import Offset, partition_offsets
 from tidelog.plans import views
-from tidelog.plans.chain import Chain
+from tidelog.plans.chain import Call, Chain
 from tidelog.plans.spec import Deduplication, TopicSpec, calls, duration_ms, load_topic, matching, size_bytes
 from tidelog.record import literal_log, text
 from tidelog.sources import connector, files, scan, write
@@ -277,3 +277,79 @@ def test_chains_as_streams(spark, tmp_path):
     for name, call, want in (("d", Call("deduplicate", {"count": "2"}, LookBack(last=2)), ["x", "8", "2", "6", "12", "4", "10"]), ("r", Call("rising", look_back=LookBack(last=1)), ["8", "12"])):
         drain(run_stream(scan.follow_log(spark, path), Chain(call), history), f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-state")
         assert values(spark.read.parquet(f"file://{tmp_path}/{name}")) == want
+
+
+def test_resolved_starts_outlive_a_restart(spark, tmp_path):
+    """A stream that is made again after more was appended goes on from the start that was resolved first."""
+    from tidelog.streaming.runtime import drain
+
+    path, at = f"file://{tmp_path}/log", f"file://{tmp_path}/start"
+    follow = lambda: scan.follow_log(spark, path, start=Offset.from_end(1), resolved=at)
+    literal_log(spark, ["1", "2", "3"]).write.parquet(path)
+    drain(follow(), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    literal_log(spark, ["4", "5"], base=3).write.mode("append").parquet(path)
+    drain(follow(), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    assert values(spark.read.parquet(f"file://{tmp_path}/out")) == ["3", "4", "5"]
+
+
+def test_keys_by_brute_force(spark, sf_dir):
+    """The partition of a key against SipHash-2-4 of its length and bytes, in plain integers."""
+    from tidelog.functions.siphash import key_partition
+
+    mask = (1 << 64) - 1
+    turn = lambda x, b: ((x << b) | (x >> (64 - b))) & mask
+
+    def siphash(data):
+        v = [0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573]
+
+        def rounds(n):
+            for _ in range(n):
+                v[0] = (v[0] + v[1]) & mask
+                v[1] = turn(v[1], 13) ^ v[0]
+                v[0] = turn(v[0], 32)
+                v[2] = (v[2] + v[3]) & mask
+                v[3] = turn(v[3], 16) ^ v[2]
+                v[0] = (v[0] + v[3]) & mask
+                v[3] = turn(v[3], 21) ^ v[0]
+                v[2] = (v[2] + v[1]) & mask
+                v[1] = turn(v[1], 17) ^ v[2]
+                v[2] = turn(v[2], 32)
+
+        padded = data + bytes(7 - len(data) % 8) + bytes([len(data) % 256])
+        for i in range(0, len(padded), 8):
+            m = int.from_bytes(padded[i : i + 8], "little")
+            v[3] ^= m
+            rounds(2)
+            v[0] ^= m
+        v[2] ^= 0xFF
+        rounds(4)
+        return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+    users = [str(r["user_id"]).encode() for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().collect()]
+    keys = [b"", b"a", b"key", b"12345678", b"x" * 31, "é☃".encode(), *users]
+    rows = spark.createDataFrame([(k,) for k in keys], "key binary").select("key", key_partition(F.col("key"), 7).alias("p")).collect()
+    assert {bytes(r["key"]): r["p"] for r in rows} == {k: siphash(len(k).to_bytes(8, "little") + k) % 7 for k in keys}
+
+
+def test_a_producers_filter_remembers(spark, tmp_path):
+    store = write.Store(spark, f"file://{tmp_path}/log")
+    producer = write.Producer(store, TopicSpec("t"), "rising", Call("deduplicate", {"count": "3"}))
+    records = lambda *v: spark.createDataFrame([(i, None, str(x).encode()) for i, x in enumerate(v)], "n int, key binary, value binary")
+    producer.send(records(1, 5, 3), ["n"])
+    producer.send(records(4, 6, "x", 7), ["n"])
+    assert values(store.read()) == ["1", "5", "6", "7"]
+
+
+def test_retention_deletes_whole_files(spark, tmp_path):
+    store = write.Store(spark, f"file://{tmp_path}/log")
+    topic = TopicSpec("t", retention_ms=10_000, segment_bytes=1024, max_partition_bytes=4096)
+    for at in range(4):
+        rows = [(i, None, b"v" * 512, 1_000 * at) for i in range(2)]
+        store.append(topic, spark.createDataFrame(rows, "n int, key binary, value binary, timestamp long").coalesce(1), ["n"])
+    files_ = lambda: len(list((tmp_path / "log").rglob("part-*.parquet"))) - len(list((tmp_path / "log").glob("_*/part-*.parquet")))
+    before = files_()
+    assert store.retain(topic, 11_500).collect()[0]["start"] == 4
+    assert [r["offset"] for r in store.read().orderBy("offset").collect()] == [4, 5, 6, 7] and files_() < before
+    assert store.retain(topic, 10**9).collect()[0]["start"] == 6  # the last segment stays
+    store.append(topic, spark.createDataFrame([(0, None, b"x", 9)], "n int, key binary, value binary, timestamp long"), ["n"])
+    assert [r["offset"] for r in store.read().orderBy("offset").collect()] == [6, 7, 8]
