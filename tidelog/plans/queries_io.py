@@ -299,12 +299,11 @@ def topic_spec(spark, sf_dir):
 
 # --- formats -------------------------------------------------------------------------------------------------------------
 
-#: Every third value is bytes that are no text.
-MIXED = F.when(number() % 3 == 0, F.lit(b"\xff\x00\x01")).otherwise(F.col("event_type").cast("binary"))
-
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("value", MIXED)
+    """Every third value is bytes that are no text."""
+    value = F.when(number() % 3 == 0, F.lit(b"\xff\x00\x01")).otherwise(F.col("event_type").cast("binary"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("value", value)
 
 
 @query("""SELECT event_id, CASE WHEN k % 3 = 0 THEN 'ff 00 01' ELSE event_type END AS line FROM ev""")
