@@ -1,6 +1,8 @@
 """Every registered engine query against its SQL in DuckDB."""
 
+import hashlib
 import os
+from threading import Timer
 
 import duckdb
 import pytest
@@ -43,6 +45,44 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def told_over_long_log(spark, path, name, seed, piece):
+    """The query over a log of one partition with 100,000 records, each of them hashed; a run that makes all the texts is cancelled."""
+    ids = duckdb.sql("SELECT (i * 7919) % 100000 AS event_id, make_timestamp(1704067200000000 + i * 1000) AS ts, 4 AS user_id, 'view' AS event_type, 0.5 AS value, '{\"k\": ' || i % 1000 || '}' AS props FROM range(100000) t(i)")
+    ids.write_parquet(f"{path}/events.parquet")
+    stop = Timer(120, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = QUERIES[name](spark, str(path)).orderBy("offset").collect()
+    finally:
+        stop.cancel()
+    digest, length, want = hashlib.md5(seed.encode()), len(seed), []
+    for n, i in enumerate(duckdb.sql("SELECT i FROM range(100000) t(i) ORDER BY (i * 7919) % 100000").fetchall()):
+        digest.update(x := piece(i[0]).encode())
+        length += len(x)
+        want.append((0, n, "4", length, digest.hexdigest()))
+    assert [tuple(r) for r in got] == want
+
+
+def odd_events(path, ts):
+    """Events without number or user, before and after others."""
+    rows = [(1, 4, None), (2, 4, '{"k": 5}'), (3, 4, "{}"), (4, 8, '{"k": -6}'), (5, None, '{"k": 7}'), (6, -3, "no JSON"), (7, -3, None), (8, None, None), (9, -3, '{"k": 0}'), (10, 2, '{"x": 1}')]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    c.executemany("INSERT INTO events VALUES (?, ?, ?, 'view', 0.5, ?)", [(i, ts, u, p) for i, u, p in rows])
+    c.sql(f"COPY events TO '{path}/events.parquet'")
+    c.execute("UPDATE events SET props = NULL WHERE props = 'no JSON'")  # DuckDB raises an error there
+    return c
+
+
+def test_concat_over_long_log(spark, tmp_path):
+    told_over_long_log(spark, tmp_path, "agg_concat", "A", lambda i: str(i % 1000))
+
+
+def test_concat_of_odd_events(spark, tmp_path):
+    c = odd_events(tmp_path, "2024-01-01 00:00:00.25")
+    same(QUERIES["agg_concat"](spark, str(tmp_path)), c.sql(SQL["agg_concat"]))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 

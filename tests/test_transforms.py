@@ -1,10 +1,12 @@
 """Transforms on literal records: one test for each case of the bundled library."""
 
+import hashlib
 import json
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidelog.errors import ChainInitError, LookBackError, TransformInitError, TransformInvalidExports, TransformNotFound
 from tidelog.operators.base import Filter, LookBack, Registry, python_aggregate, python_array_map, python_filter, python_map, transform
@@ -76,6 +78,25 @@ def test_seeds(spark):
     assert [s["count"] for s in states] == [3, 4, 5] and abs(states[-1]["average"] - 3.0) < 1e-9
 
 
+def test_digests_without_texts(spark):
+    """A run that tells digests gives what hashing the texts gives: after failures, nulls, array maps, in several partitions and topics."""
+    from functools import reduce
+
+    logs = [literal_log(spark, v, t, p, timestamps=[7 * i for i in range(len(v))]) for t, p, v in (
+        ("a", 0, ["é", "", "日本", "a\nb", "😀"]), ("a", 1, [b"x", b"y", b"\xff", b"z"]), ("a", 2, ["", ""]), ("b", 0, ["only"]))]
+    odd = reduce(lambda a, b: a.unionByName(b), logs).withColumn("value", F.expr("nullif(value, cast('only' as binary))")).repartition(3)
+    lists = literal_log(spark, ['["a", 1]', "[]", '[null, "b"]'])
+    for log, calls in ((odd, [Call("concat", seed="Ä")]), (odd, ["concat"]), (odd, ["concat-with-timestamp"]), (odd, ["contains-a", "concat"]), (lists, ["json-array", "concat"]), (odd, ["upper"]), (odd, [])):
+        for policy in ("halt", "skip"):
+            at = ["topic", "partition", "offset", *(["sub_index"] if log is lists else [])]
+            texts = {tuple(r[c] for c in at): r["value"] and bytes(r["value"]) or r["value"] for r in Chain(*calls).run(log, policy).records.collect()}
+            made = Chain(*calls).run(log, policy, digest=True).records
+            assert "value" not in made.columns and set(at) < set(made.columns)
+            got = {tuple(r[c] for c in at): (r["length"], r["digest"]) for r in made.collect()}
+            assert got == {k: (None, None) if v is None else (len(v.decode(errors="replace")), hashlib.md5(v).hexdigest()) for k, v in texts.items()}, calls
+    assert Chain(Call("concat", seed="Ä")).run(odd, digest=True).records.count() == 10
+
+
 def test_filter_then_aggregate(spark):
     chain = Call("contains", {"key": "a"}), Call("concat", seed="zero")
     assert values(ran(spark, ["apple", "fruit", "banana"], *chain).records) == ["zeroapple", "zeroapplebanana"]

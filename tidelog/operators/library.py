@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.regex import checked_pattern
 from ..record import LOG_KEYS, by_partition, text
 from .base import Aggregate, ArrayMap, Filter, FilterMap, Map, Stateful, transform
-from .state import deduplicate, fold_rows, prefix
+from .state import deduplicate, fold_rows, prefix, running_digests
 
 V = lambda: text("value")
 K = lambda: text("key")
@@ -177,14 +177,15 @@ def json_posts(params: dict) -> ArrayMap:
 
 
 def _concat(piece: Column, seed: str) -> Aggregate:
-    """The text grows with every record, so the output is quadratic in a partition by its nature."""
+    """The text grows with every record, so the output is quadratic in a partition by its nature; its lengths and digests are not."""
 
     def run(log: DataFrame) -> DataFrame:
         order = ["offset", "sub_index"] if "sub_index" in log.columns else ["offset"]
         w = Window.partitionBy(*LOG_KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return log.withColumn("value", F.concat(F.lit(seed), F.array_join(F.collect_list(piece).over(w), "")).cast("binary"))
+        made = F.concat(F.lit(seed), F.array_join(F.collect_list(piece).over(w), ""))
+        return log.withColumn("value", F.when(F.count(piece).over(w) > 0, made).cast("binary"))
 
-    return Aggregate("aggregate", utf8(), run)
+    return Aggregate("aggregate", utf8(), run, lambda log: running_digests(log, piece, seed))
 
 
 @transform("aggregate", "concat")

@@ -4,7 +4,7 @@ Algebraic folds (sum, count, maximum) run as distributed prefix sums: records ar
 chunk totals are windowed by partition and added. No task holds more than a chunk, however long or uneven the partitions are.
 
 Folds that only Python can express read each partition's records in order as a stream of Arrow batches: state is whatever the fold keeps,
-records are not gathered.
+records are not gathered. Texts that grow with every record can be told by length and digest instead, by such a stream too.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..record import LOG_KEYS
 
@@ -72,6 +73,39 @@ def fold_rows(df: DataFrame, initial: Callable[[str, int], object], step: Step,
     return ordered(df).mapInArrow(run, schema)
 
 
+def running_digests(df: DataFrame, piece: Column, seed: str = "") -> DataFrame:
+    """The concatenation of ``seed`` and the pieces up to each record, told by its length in characters and its MD5 (columns length and
+    digest, in place of value); both are null before the first piece that isn't null. The hash goes on from record to record, so no text is
+    held: the work is linear where the texts are quadratic."""
+    rest = [c for c in df.columns if c != "value"]
+    rows = ordered(df.select(*rest, piece.cast("binary").alias("_piece"), F.length(piece).cast("long").alias("_n")))
+    schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField("length", T.LongType()), T.StructField("digest", T.StringType())])
+
+    def run(batches: Iterator):
+        import hashlib
+
+        import pyarrow as pa
+
+        start = seed.encode()
+        at = digest = None
+        n, told = 0, (None, None)
+        for b in batches:
+            lengths, digests = [], []
+            for topic, partition, x, k in zip(*[b.column(c).to_pylist() for c in (*LOG_KEYS, "_piece", "_n")], strict=True):
+                if (topic, partition) != at:
+                    at, digest = (topic, partition), hashlib.md5(start, usedforsecurity=False)
+                    n, told = len(seed), (None, None)
+                if x is not None:
+                    digest.update(x)
+                    n += k
+                    told = n, digest.hexdigest()
+                lengths.append(told[0])
+                digests.append(told[1])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(lengths, pa.int64()), pa.array(digests, pa.string())], [*rest, "length", "digest"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def deduplicate(log: DataFrame, count: int | None, seed: dict[tuple[str, int], list[bytes]] | None = None) -> DataFrame:
     """Keeps a record if its value isn't among the last ``count`` kept ones of its partition; a repeat doesn't make a value younger.
     Without a bound: the first record of each value, by partial aggregation. ``seed``: values kept before, oldest first."""
