@@ -83,6 +83,16 @@ def test_concat_of_odd_events(spark, tmp_path):
     same(QUERIES["agg_concat"](spark, str(tmp_path)), c.sql(SQL["agg_concat"]))
 
 
+def test_concat_with_timestamp_over_long_log(spark, tmp_path):
+    told_over_long_log(spark, tmp_path, "agg_concat_timestamp", "", lambda i: f"{i % 1000}_[2024-01-01 00:{i // 60000:02}:{i // 1000 % 60:02}{f'.{i % 1000:03}' if i % 1000 else ''} UTC]")
+
+
+@pytest.mark.parametrize("ts", ["2024-01-01 00:00:00.25", "1969-12-31 23:59:59", "2300-07-01 12:00:00.007"])
+def test_concat_with_timestamp_of_odd_events(spark, tmp_path, ts):
+    c = odd_events(tmp_path, ts)
+    same(QUERIES["agg_concat_timestamp"](spark, str(tmp_path)), c.sql(SQL["agg_concat_timestamp"]))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
